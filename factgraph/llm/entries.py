@@ -22,6 +22,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "failed")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.html import extract_main_text
 
@@ -29,6 +42,13 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.ngram_join import ngram_groups
+
+    out = ngram_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.toxicity import score_toxicity, train
 
@@ -62,5 +82,5 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_html_main_text, op8_toxicity, op9_language_id, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_best_fit_packing, op5_html_main_text, op7_ngram_jaccard_join, op8_toxicity, op9_language_id, op10_audio_features)}
 ORACLE_SQL: dict[str, str] = {}
