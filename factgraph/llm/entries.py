@@ -35,6 +35,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.lm import score_documents, train, vocabulary
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = vocabulary(docs)
+    return score_documents(docs, train(docs, words), words)
+
+
+def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm.lattice import decode, encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, keep=("doc_id", "text"))
+    back = decode(coded.select("doc_id", F.col("text").alias("source"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids"))
+    return back.select("doc_id", "n_pieces", "ids_hash", (F.coalesce("source", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.html import extract_main_text
 
@@ -82,5 +99,5 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_best_fit_packing, op5_html_main_text, op7_ngram_jaccard_join, op8_toxicity, op9_language_id, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_best_fit_packing, op4_lm_scoring, op5_html_main_text, op6_sentencepiece_lattice, op7_ngram_jaccard_join, op8_toxicity, op9_language_id, op10_audio_features)}
 ORACLE_SQL: dict[str, str] = {}

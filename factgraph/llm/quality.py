@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import encoded, stage_table
+from factgraph.llm.common import drop_table, encoded, stage_table
 
 SYMBOLS = b"#*$%&|<>"
 #: Statistic: (numerator, denominator) columns; larger is worse.
@@ -139,3 +139,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     named = docs.select(F.col(key).alias(key), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.col(text).alias("__body"))
     measured = stage_table(features(named, "__body", (key, "stratum")), "quality")
     return judge(measured, cutoffs(measured, labels, key, **how))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", **how) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns; texts are measured where they are read, so none is shuffled."""
+    named = docs.select(F.col(key), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.col(text).alias("__body"))
+    measured = stage_table(features(named, "__body", (key, "stratum")), "quality")
+    cuts = cutoffs(measured, labels, key, **how)
+    drop_table(measured)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.col(text).alias("__body"))
+    return judge(features(row, "__body", ("row", "stratum")), cuts).where("kept").select("row.*")

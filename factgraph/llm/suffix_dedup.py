@@ -116,8 +116,11 @@ def _answers(hashes: np.ndarray, sizes: np.ndarray, text: np.ndarray, smallest:
     return owner[at], offset[at], offset[stop - 1] + 1, answer[at]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: key, ``keep`` columns, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary)."""
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per document: key, ``keep`` columns, n_bytes, n_removed, n_spans (maximal removed runs) and kept.
+
+    ``kept`` is binary, or with ``as_text`` a string without the odd bytes of characters that were cut in two.
+    """
     spark = docs.sparkSession
     blocks = slices_n = partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
@@ -293,7 +296,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     meet = whole
     for other in (answers, copies):
         meet = meet.unionByName(other, allowMissingColumns=True)
-    out_schema = ", ".join([f"`{key}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    out_schema = ", ".join([f"`{key}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")])
 
     def apply(table: pa.Table) -> pa.Table:
         is_doc = table.column("body").is_valid().to_numpy()
@@ -340,7 +343,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
                 n_spans.append(0)
                 kept.append(t)
         arrays = {key: pa.array(ids, pa.int64()), **{f.name: own.column(f"__k{i}") for i, f in enumerate(extra)}}
-        arrays |= {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
+        arrays |= {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())}
         return pa.table(arrays)
 
     return meet.groupBy("block").applyInArrow(apply, out_schema)
