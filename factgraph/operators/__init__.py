@@ -1 +1 @@
-
+"""Relational operators over fact tables, as functions from DataFrames to DataFrames."""
