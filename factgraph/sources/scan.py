@@ -88,7 +88,7 @@ def services(files: DataFrame) -> DataFrame:
     """(root, service_root, name, entrypoints): folders with an entry file, or a package.json with a start script."""
     path = F.col("relative_path")
     base = F.lower(F.substring_index("relative_path", "/", -1))
-    scripts = F.from_json(F.get_json_object(F.decode("content", F.lit("UTF-8")), "$.scripts"), "map<string,string>")
+    scripts = F.from_json(F.get_json_object(F.decode("content", "UTF-8"), "$.scripts"), "map<string,string>")
     starts = F.exists(F.array(*[F.lit(x) for x in ("start", "dev", "serve")]), lambda k: F.coalesce(S.trim_all(F.try_element_at(scripts, k)), F.lit("")) != "")
     entry = base.isin("main.go", "main.py", "app.py", "server.js", "server.ts") | F.regexp_like(path, F.lit("(^|/)src/(index|main)\\.ts$")) | F.when(base == "package.json", F.coalesce(starts, F.lit(False))).otherwise(F.lit(False))
     grouped = files.where(entry).groupBy("root", folder(path).alias("service_root")).agg(F.array_sort(F.collect_set("relative_path")).alias("entrypoints"))
