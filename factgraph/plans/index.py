@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from factgraph.functions import scalars as S
 from factgraph.operators import resolve
 from factgraph.sources.extract import extract
+from factgraph.sources.routes_go import detect_routes
+from factgraph.sources import scan
 from factgraph.sources.scan import folder
 
 KEY = ["repository_id", "path"]
@@ -131,6 +133,7 @@ def build(files: DataFrame, extractors: dict | None = None) -> Index:
     resolved, ambiguous = resolve_targets(calls.where("category is null"), symbols, exports)
     target = by_ordinal.select("repository_id", "path", F.col("symbol").alias("target"), F.col("source_symbol_id").alias("target_symbol_id"))
     hints = exploded(raw, "hints").join(by_ordinal, [*KEY, "symbol"]).join(target, [*KEY, "target"], "left").join(file_ids, KEY)
+    boundaries, route_notes = detect_routes(files, packages)
     tables = {
         "files": all_files,
         "symbols": symbols.select("id", "repository_id", "file_id", "file_path", "canonical_name", "name", "receiver", "kind", "signature", "start_line", "start_col", "end_line", "end_col", "start_byte", "end_byte"),
@@ -138,7 +141,29 @@ def build(files: DataFrame, extractors: dict | None = None) -> Index:
         "exports": exports.select("id", "file_id", "file_path", "name", "canonical_name", "is_default"),
         "call_candidates": resolved.select("id", "source_symbol_id", "target_symbol_id", "target_canonical_name", "target_file_path", "target_export_name", F.lit("calls").alias("relationship"), "evidence_type", "evidence_source", "extraction_method", "confidence_score", "order_index"),
         "execution_hints": hints.select(S.stable_id("hint", F.col("file_id"), F.col("ordinal")).alias("id"), F.col("path").alias("file_path"), "source_symbol_id", F.coalesce("target_symbol_id", F.lit("")).alias("target_symbol_id"), "target_symbol", "kind", "evidence", "order_index"),
-        "diagnostics": noted.unionByName(ambiguous),
+        "diagnostics": noted.unionByName(ambiguous).unionByName(route_notes),
+        "boundaries": boundaries,
         "tests": symbols.where("kind = 'test_function'").select("id", F.col("id").alias("symbol_id"), "file_id", "file_path", "canonical_name", "name", "start_line", "end_line"),
     }
     return Index(tables)
+
+
+def index_workspace(files: DataFrame, generated_at: str) -> Index:
+    """All fact tables of a scanned workspace (relative_path, content): repositories and services too, and the counts of the run."""
+    roots = scan.repository_roots(files)
+    placed = scan.assign_repository(files, roots)
+    repository = F.concat(F.lit("repo_"), F.coalesce(F.nullif(F.col("root"), F.lit("")), F.lit(".")))
+    inside = F.when(F.col("root") == "", F.col("relative_path")).otherwise(F.expr("substring(relative_path, length(root) + 2)"))
+    language = F.coalesce(S.language_of(F.col("relative_path")), F.when(S.file_bucket(F.col("relative_path")).isin("javascript", "typescript"), S.file_bucket(F.col("relative_path"))), F.lit(""))
+    table = placed.select(repository.alias("repository_id"), F.col("root").alias("repository_root"), inside.alias("path"), language.alias("language"), "content")
+    out = build(table)
+    tech, services = scan.technology(placed), scan.services(placed)
+    counted = services.groupBy("root").agg(F.count("*").alias("n"))
+    out.tables["repositories"] = tech.join(counted, "root", "left").select(repository.alias("id"), F.coalesce(F.nullif(F.substring_index("root", "/", -1), F.lit("")), F.lit("workspace")).alias("name"), F.col("root").alias("root_path"), S.repo_role(F.coalesce("n", F.lit(0)), F.col("languages"), F.col("build_files")).alias("role"), "languages", "build_files", "frameworks")
+    hints = placed.select("root", S.framework_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
+    out.tables["services"] = services.join(hints, "root", "left").select(S.stable_id("svc", F.col("root"), F.col("service_root"), F.col("name")).alias("id"), repository.alias("repository_id"), "name", F.col("service_root").alias("root_path"), "entrypoints", "boundary_hints")
+    count = lambda name, column: out[name].agg(F.count("*").alias(column))
+    issues = out["diagnostics"].agg(F.count_if(F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("deferred"), F.count_if(~F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("ambiguous"))
+    run = count("repositories", "repository_count").crossJoin(count("files", "file_count")).crossJoin(count("symbols", "symbol_count")).crossJoin(count("call_candidates", "call_candidate_count")).crossJoin(issues)  # one row each
+    out.tables["index_runs"] = run.withColumn("generated_at", F.lit(generated_at).cast("timestamp"))
+    return out

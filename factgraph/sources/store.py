@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.operators.dedup import last_wins
 from factgraph.schemas import LOOKUP
@@ -17,12 +18,17 @@ def save(tables: dict[str, DataFrame], root: str, workspace_id: str, snapshot_id
         keyed = rows.withColumn("workspace_id", F.lit(workspace_id)).withColumn("snapshot_id", F.lit(snapshot_id))
         if by := LOOKUP.get(name):
             keyed = keyed.sortWithinPartitions(*by)
+        rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/schemas/{name}")
         keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id", "snapshot_id").parquet(f"{root}/facts/{name}")
 
 
 def load(spark: SparkSession, root: str, name: str, workspace_id: str, snapshot_id: str) -> DataFrame:
     """One table of a snapshot; the filter on the partition columns prunes all other snapshots."""
-    rows = spark.read.parquet(f"{root}/facts/{name}")
+    schema = spark.read.parquet(f"{root}/schemas/{name}").schema
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/facts/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("workspace_id", T.StringType()), T.StructField("snapshot_id", T.StringType())])).parquet(f"{root}/facts/{name}")
     return rows.where((F.col("workspace_id") == workspace_id) & (F.col("snapshot_id") == snapshot_id)).drop("workspace_id", "snapshot_id")
 
 
