@@ -31,7 +31,9 @@ SIZE, END_ID, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 1, 4096, 3
 PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-ɏ–—‘-”…€]*")
 #: The tokenizer's own cut, for PLAIN lower-cased texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-CACHE = 150_000
+CACHE = 300_000
+#: Encoders of this Python worker, kept from task to task.
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -47,6 +49,14 @@ class WordEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words that the tokenizer cuts as we do, encoded as one text: it cuts at the spaces, and numbers the words."""
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, which = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        edges = np.searchsorted(which, np.arange(len(new) + 1))
+        for i, w in enumerate(new):
+            yield w, ids[edges[i] : edges[i + 1]].tobytes()
+
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return self.ids([text])[0]
@@ -58,23 +68,29 @@ class WordEncoder:
             pass
         if len(known) > CACHE:
             known.clear()
-        new = list(set(words) - known.keys())
-        known.update(zip(new, self.ids(new), strict=True))
+        known.update(self.words([w for w in set(words) if w not in known]))
         return b"".join(map(known.__getitem__, words))
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32) of every document, with the ids themselves on request."""
     plain = docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
     schema = f"`{key}` {plain.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer is None:
-            import public_tokenizers
-
-            encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-        else:
-            encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer or default_tokenizer())
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * size
         for b in batches:
             keys, owner, rows, ids = b.column(0), [], [], []
