@@ -12,6 +12,10 @@ Round one takes every short list as a star around its smallest id. Round two tak
 whose documents are still in different groups; no link between groups is lost, and links inside a group
 cannot change it. Documents with equal sets link without any search.
 
+A pair is verified only if two cheap bounds admit it: the sizes of its sets, and a bit parity signature,
+whose distance is never more than the number of shingles in one set only. Sets are made where texts are
+read, for documents of admitted pairs, told by a bitmap of fixed size and then exactly.
+
 Null texts and texts without words have the empty set and stay alone. Shingles are 64-bit hashes of words;
 equal sets are told by 128 bits. Keys must be unique whole numbers; other columns are not read.
 """
@@ -35,6 +39,8 @@ N, PERCENT = 5, 75
 SAMPLE, FREQUENT, AT_LEAST = 1 / 32, 1 << 16, 3
 #: Lists of more documents are handled as long in round two; candidates of one verification task.
 LONG_LIST, BLOCK = 64, 128
+#: Largest signature in bits, and bits of the bitmap of wanted documents.
+SIGNATURE, BITMAP = 1 << 13, 1 << 25
 _COEFFICIENTS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,6 +77,25 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)[0]), int(two.astype(np.int64)[0])
 
 
+def signature(s: np.ndarray) -> bytes:
+    """For each of 2**k buckets of hashes, at least as many as shingles (up to SIGNATURE), whether the count is odd."""
+    bits = min(SIGNATURE, 1 << max(6, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes() if len(s) else b""
+
+
+def far_apart(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
+    """True only if the two sets can't link."""
+    if percent * max(nx, ny) > 100 * min(nx, ny):
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):  # bucket i of the smaller is buckets i and i + half of the larger
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    apart = int(np.bitwise_count(a ^ b).sum())
+    return apart > nx + ny - 2 * -(-percent * (nx + ny) // (100 + percent))
+
+
 def needed(n: int, percent: int) -> int:
     """The smallest overlap that a set of n can have with any partner."""
     return -(-percent * n // 100)
@@ -161,9 +186,9 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
 
     def sizes(batches):
         for keys, sets in batches:
-            rows = [(k, len(s), *fingerprint(s)) for k, s in zip(keys, sets, strict=True)]
-            c = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["id", "n", "f1", "f2"])
+            rows = [(k, len(s), *fingerprint(s), signature(s)) for k, s in zip(keys, sets, strict=True)]
+            c = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["id", "n", "f1", "f2", "bits"])
 
     def post(batches):
         writer = postings.Writer(parts, 2, marks=True)
@@ -179,7 +204,7 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
                     seen.clear()
         yield from writer.flush()
 
-    measured = stage_table(_sets(docs, key, text, n, sizes, "id long, n long, f1 long, f2 long"), "sets")
+    measured = stage_table(_sets(docs, key, text, n, sizes, "id long, n long, f1 long, f2 long, bits binary"), "sets")
     equal = measured.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = stage_table(measured.join(equal.where("copies > 1"), ["f1", "f2", "n"]).select("id", "rep"), "copies")
 
@@ -215,8 +240,9 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     stars = shared.select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).where("a <> b").distinct()
-    stars = stage_table(to_reps(stars), "stars")
-    links = stage_table(verify(stars, docs, key, text, n, percent), "links")
+    stars = to_reps(stars)
+    near = stage_table(admitted(stars, measured, percent), "stars")
+    links = stage_table(verify(near, docs, key, text, n, percent), "links")
     groups = stage_table(connected_components(links), "groups")
 
     # Round two: of each list, the pairs of documents that are still in different groups.
@@ -236,9 +262,10 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
     largest = per.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
     minor = big.join(largest, "list").where("component <> main").select("list", F.struct("id", "component", "n").alias("x"))
     crossed = minor.join(big.select("list", F.struct("id", "component", "n").alias("y")), "list").where(fits(F.col("x"), F.col("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = pairs.unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stage_table(verify(stage_table(rest, "rest"), docs, key, text, n, percent), "links")
-    if not more.isEmpty():
+    rest = pairs.unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = stage_table(admitted(rest, measured, percent).join(near, ["a", "b"], "left_anti"), "rest")
+    more = None if rest.isEmpty() else stage_table(verify(rest, docs, key, text, n, percent), "links")
+    if more is not None and not more.isEmpty():
         between = more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = connected_components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         names = groups.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups, "id", "left_anti").withColumn("component", F.col("id")))
@@ -247,18 +274,42 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
     return own.join(groups.withColumnRenamed("id", "node"), "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
+def admitted(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures do not rule out."""
+    sized = measured.select("id", "n", "bits")
+    joined = pairs.join(sized.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa")), "a")
+    joined = joined.join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [not far_apart(x, nx, y, ny, percent) for x, nx, y, ny in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    return joined.where(F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")).select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Each a is a query against blocks of its candidates b."""
 
-    def body(batches):
-        for keys, sets in batches:
-            rows = [(k, s.tobytes()) for k, s in zip(keys, sets, strict=True)]
-            c = list(zip(*rows, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], names=["id", "s"])
-
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = docs.select(F.col(key).cast("long").alias(key), text).join(ids.withColumnRenamed("id", key), key, "left_semi")
-    sets = stage_table(_sets(wanted, key, text, n, body, "id long, s binary"), "verify")
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    marked = ids.select(spot.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toPandas()
+    bitmap = np.zeros(BITMAP // 64, np.uint64)  # of BITMAP bits whatever the corpus; where it is full, more sets are made than needed
+    bitmap[marked["w"].to_numpy(np.int64)] = marked["v"].to_numpy(np.int64).astype(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(2).to_numpy().astype(np.uint64)
+            some = (sent.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            b = b.filter(pa.array(some))
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [s.tobytes() for s in shingle_sets(encoded(part.column(1)), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", spot)
+    sets = stage_table(plain.mapInArrow(wanted, "id long, s binary").join(ids, "id", "left_semi"), "verify")
     counted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "a")
     blocked = counted.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     candidates = blocked.select("a", "block", F.col("b").alias("id")).join(sets, "id")
