@@ -71,16 +71,14 @@ class Writer:
                 rows.append((int(mix(full[a : a + 1] + np.uint64(mine[0, 0] & 0xFFFF))[0] % np.uint64(self.slices)), int(full[a]), None, None, mine.tobytes()))
             full, owners, hot = full[keep], owners[keep], hot[keep]
         part, low = (full >> np.uint64(32)).astype(np.int64), full.astype(np.uint32)
-        edges = np.searchsorted(part, np.arange(self.slices + 1))
-        for s in range(self.slices):
-            a, b = edges[s], edges[s + 1]
-            if a < b:
-                refs = owners[a:b].astype(np.int64)
-                if self.marks:
-                    refs = refs * 2 + hot[a:b]
-                used, local = np.unique(refs, return_inverse=True)
-                attributes = np.column_stack([docs[used >> 1], used & 1]) if self.marks else docs[used]
-                rows.append((s, None, low[a:b].tobytes(), local.astype(np.uint16).tobytes(), np.ascontiguousarray(attributes).tobytes()))
+        for a, c in zip(*(x.tolist() for x in groups(part)), strict=True):
+            b, s = a + c, int(part[a])
+            refs = owners[a:b].astype(np.int64)
+            if self.marks:
+                refs = refs * 2 + hot[a:b]
+            used, local = np.unique(refs, return_inverse=True)
+            attributes = np.column_stack([docs[used >> 1], used & 1]) if self.marks else docs[used]
+            rows.append((s, None, low[a:b].tobytes(), local.astype(np.uint16).tobytes(), np.ascontiguousarray(attributes).tobytes()))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["slice", "part", "keys", "owners", "docs"])
 

@@ -31,10 +31,7 @@ def _pack(*parts: np.ndarray) -> np.ndarray:
 
 def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     if max(int(x.max(initial=0)) for x in (a, b, c)) < 257:
-        packed = a * 66049 + b * 257 + c
-        seen = np.zeros(257**3, bool)
-        seen[packed] = True
-        return np.cumsum(seen)[packed]
+        return _dense((a * 66049 + b * 257 + c).astype(np.uint32))
     return _dense(_pack(a, b, c))
 
 

@@ -12,6 +12,9 @@ A byte goes when a string of ``width`` bytes covers it that also starts in a doc
    and compares adjacent prefixes; runs of equal strings give the smallest key for each string.
 4. Each block applies the answers to its texts.
 
+Texts travel to their blocks in compressed batches. The number of slices and blocks follows the bytes of
+all texts (SLICE_TEXT and BLOCK_TEXT each), so that a task needs the same memory at every size.
+
 Equal texts share one identity in steps 1 to 3: only the copy of smallest key takes part, and the others,
 where long enough for one string, are covered whole. Null texts are empty. Rows with a null key keep their
 text and remove nothing. Repeated keys are documents of equal rank: neither removes the other's bytes.
@@ -20,20 +23,21 @@ text and remove nothing. Repeated keys are documents of equal rank: neither remo
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import postings
-from factgraph.llm.common import BYTE_VALUES, _tables, mix, partitions, slices, span_hashes, stage_table
+from factgraph.llm.common import BYTE_VALUES, _tables, mix, slices, span_hashes, stage_table
 from factgraph.llm.suffix_array import weak_ranks
 
 WIDTH, GRAM = 50, 24
+SLICE_TEXT, BLOCK_TEXT, BATCH_TEXT, LEAST = 1 << 20, 4 << 20, 12 << 20, 24
 _TOP = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -89,6 +93,47 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.arange(int(sizes.sum())) + np.repeat(starts - offsets, sizes)]
 
 
+def _to_blocks(frame: DataFrame) -> DataFrame:
+    """(block, batch): the rows of each block, as compressed Arrow streams of about BATCH_TEXT bytes a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> pa.RecordBatch:
+            table = table.take(pa.compute.sort_indices(table.column("block")))
+            numbers = table.column("block").to_numpy()
+            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])), [len(numbers)]])
+            blobs = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(table.slice(a, b - a).combine_chunks())
+                blobs.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(numbers[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "batch"])
+
+        kept, size = [], 0
+        for b in batches:
+            kept.append(b)
+            size += b.nbytes
+            if size >= BATCH_TEXT:
+                yield out(pa.Table.from_batches(kept))
+                kept, size = [], 0
+        if size:
+            yield out(pa.Table.from_batches(kept))
+
+    return frame.mapInArrow(run, "block int, batch binary")
+
+
+def _from_batches(column) -> pa.Table | None:
+    found = [pa.ipc.open_stream(x).read_all() for x in column.to_pylist()]
+    return pa.concat_tables(found).combine_chunks() if found else None
+
+
+def pieces_of(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, first, last + 1) of each run of a sorted array."""
+    starts, count = postings.groups(numbers)
+    for a, c in zip(starts.tolist(), count.tolist(), strict=True):
+        yield int(numbers[a]), a, a + c
+
+
 def _answers(hashes: np.ndarray, sizes: np.ndarray, text: np.ndarray, smallest: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """For distinct contexts: segments (context, first offset, last offset + 1, smallest key) of their strings."""
     begin = np.cumsum(sizes) - sizes
@@ -121,9 +166,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
     ``kept`` is binary, or with ``as_text`` a string without the odd bytes of characters that were cut in two.
     """
-    spark = docs.sparkSession
-    blocks = slices_n = partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    volume = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    blocks, slices_n = max(LEAST, volume // BLOCK_TEXT), max(LEAST, volume // SLICE_TEXT)
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
     plain = docs.select(block.alias("block"), F.col(key).cast("long").alias("id"), body.alias("body"))
     known = plain.where("id is not null")
@@ -177,19 +222,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         keys, rows = np.concatenate(found_keys), np.concatenate(found_docs)
         order = np.argsort(rows[:, 1], kind="stable")
         keys, rows = keys[order], rows[order]
-        edges = np.searchsorted(rows[:, 1], np.arange(blocks + 1))
-        for b in range(blocks):
-            if edges[b] < edges[b + 1]:
-                out.append((b, None, None, keys[edges[b] : edges[b + 1]].tobytes(), np.ascontiguousarray(rows[edges[b] : edges[b + 1], 0]).tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({"block": pa.array(cols[0], pa.int32()), "id": pa.array(cols[1], pa.int64()), "body": pa.array(cols[2], pa.binary()), "one": pa.array(cols[3], pa.binary()), "two": pa.array(cols[4], pa.binary())})
-
-    back = "block int, id long, body binary, one binary, two binary"
+        for b, x, y in pieces_of(rows[:, 1]):
+            out.append((b, None, keys[x:y].tobytes(), np.ascontiguousarray(rows[x:y, 0]).tobytes()))
+        return replies_table(out)
+
+    def replies_table(rows: list[tuple]) -> pa.Table:
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip((("block", pa.int32()), ("batch", pa.binary()), ("one", pa.binary()), ("two", pa.binary())), cols, strict=True)})
+
+    back = "block int, batch binary, one binary, two binary"
     shared = known.mapInArrow(post, postings.SCHEMA).groupBy("slice").applyInArrow(share, back)
 
     def contexts(table: pa.Table) -> pa.Table:
         """Distinct contexts of a block, packed by slice."""
-        is_doc = table.column("body").is_valid().to_numpy()
+        is_doc = table.column("batch").is_valid().to_numpy()
         replies = table.filter(pa.array(~is_doc))
         empty = pa.table({n: pa.array([], t) for n, t in CONTEXT_TYPES})
         if not replies.num_rows:
@@ -198,7 +244,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in replies.column("two").to_pylist()])
         order = np.argsort(ids, kind="stable")
         keys, ids = keys[order], ids[order]
-        own = table.filter(pa.array(is_doc))
+        own = _from_batches(table.column("batch").filter(pa.array(is_doc)))
         named = own.column("id").to_numpy()
         at, to = np.searchsorted(ids, named, "left"), np.searchsorted(ids, named, "right")
         chosen = np.flatnonzero(at < to)
@@ -236,19 +282,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         rows = []
         order = np.argsort(slice_no[lead], kind="stable")
         lead, small, large = lead[order], small[order], large[order]
-        edges = np.searchsorted(slice_no[lead], np.arange(slices_n + 1))
         here = table.column("block")[0].as_py()
-        for s in range(slices_n):
-            a, b = edges[s], edges[s + 1]
-            if a < b:
-                pick = lead[a:b]
-                rows.append((s, here, names[pick].tobytes(), sizes[pick].astype(np.uint8 if width <= 128 else np.uint32).tobytes(), np.stack([small[a:b], large[a:b]]).tobytes(), zlib.compress(_gather(text_all, begin[pick], sizes[pick]).tobytes(), 1)))
+        for s, a, b in pieces_of(slice_no[lead]):
+            pick = lead[a:b]
+            rows.append((s, here, names[pick].tobytes(), sizes[pick].astype(np.uint8 if width <= 128 else np.uint32).tobytes(), np.stack([small[a:b], large[a:b]]).tobytes(), zstandard.compress(_gather(text_all, begin[pick], sizes[pick]).tobytes(), 3)))
         cols = list(zip(*rows, strict=True))
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(CONTEXT_TYPES, cols, strict=True)})
 
     CONTEXT_TYPES = [("slice", pa.int32()), ("block", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("packed", pa.binary())]
     size_type = np.uint8 if width <= 128 else np.uint32
-    placed = known.withColumns({"one": F.lit(None).cast("binary"), "two": F.lit(None).cast("binary")}).unionByName(shared)
+    placed = _to_blocks(known).unionByName(shared, allowMissingColumns=True)
     cut = placed.groupBy("block").applyInArrow(contexts, "slice int, block int, names binary, sizes binary, keys binary, packed binary")
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -259,7 +302,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         bounds = [np.frombuffer(r["keys"], np.int64).reshape(2, -1) for r in rows]
         small, large = np.concatenate([k[0] for k in bounds]), np.concatenate([k[1] for k in bounds])
         block_of = np.repeat([r["block"] for r in rows], [k.shape[1] for k in bounds])
-        text_all = np.frombuffer(b"".join(zlib.decompress(r["packed"]) for r in rows), np.uint8)
+        text_all = np.frombuffer(b"".join(zstandard.decompress(r["packed"]) for r in rows), np.uint8)
         begin = np.cumsum(sizes) - sizes
         distinct, lead, which = np.unique(names, return_index=True, return_inverse=True)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -273,37 +316,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         segment, entry = segment[useful], entry[useful]
         order = np.argsort(block_of[entry], kind="stable")
         segment, entry = segment[order], entry[order]
-        edges = np.searchsorted(block_of[entry], np.arange(blocks + 1))
         out = []
-        for b in range(blocks):
-            x, y = edges[b], edges[b + 1]
-            if x < y:
-                s = segment[x:y]
-                out.append((b, None, None, names[entry[x:y]].tobytes(), np.stack([low[s], high[s], answer[s]]).tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({"block": pa.array(cols[0], pa.int32()), "id": pa.array(cols[1], pa.int64()), "body": pa.array(cols[2], pa.binary()), "one": pa.array(cols[3], pa.binary()), "two": pa.array(cols[4], pa.binary())})
+        for b, x, y in pieces_of(block_of[entry]):
+            s = segment[x:y]
+            out.append((b, None, names[entry[x:y]].tobytes(), np.stack([low[s], high[s], answer[s]]).tobytes()))
+        return replies_table(out)
 
     answers = stage_table(cut.groupBy("slice").applyInArrow(resolve, back), "answers")
 
     # Copies of a text whose smallest key is another document's.
     digests = known.select("block", "id", F.sha2("body", 256).alias("d"))
     firsts = digests.groupBy("d").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = digests.join(firsts, "d").where("id > first").select("block", "id", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("one"), F.lit(None).cast("binary").alias("two")).distinct()
-
-    names_kept = [f"`{c}`" for c in keep]
+    copies = digests.join(firsts, "d").where("id > first").select("block", "id").distinct()
     extra = [docs.schema[c] for c in keep]
-    whole = docs.select(block.alias("block"), F.col(key).cast("long").alias("id"), body.alias("body"), F.lit(None).cast("binary").alias("one"), F.lit(None).cast("binary").alias("two"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(names_kept)])
-    meet = whole
+    whole = docs.select(block.alias("block"), F.col(key).cast("long").alias("id"), body.alias("body"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
+    meet = _to_blocks(whole)
     for other in (answers, copies):
         meet = meet.unionByName(other, allowMissingColumns=True)
     out_schema = ", ".join([f"`{key}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")])
 
     def apply(table: pa.Table) -> pa.Table:
-        is_doc = table.column("body").is_valid().to_numpy()
-        own, rest = table.filter(pa.array(is_doc)), table.filter(pa.array(~is_doc))
-        is_reply = rest.column("one").is_valid()
-        replies = rest.filter(is_reply)
-        copied = set(rest.filter(pa.compute.invert(is_reply)).column("id").to_pylist())
+        own = _from_batches(table.column("batch").filter(table.column("batch").is_valid()))
+        if own is None:
+            own = pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("body", pa.binary()), *((f"__k{i}", pa.null()) for i in range(len(extra))))})
+        replies = table.filter(table.column("one").is_valid())
+        copied = set(table.column("id").drop_null().to_pylist())
         names = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in replies.column("one").to_pylist())])
         segments = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(3, -1) for x in replies.column("two").to_pylist())], axis=1)
         order = np.argsort(names, kind="stable")
