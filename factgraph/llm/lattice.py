@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK, LONGEST, DICTIONARY = "▁", 48, 1 << 15
+MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 400_000
 WORD = re.compile(r"\n|▁?[^▁\n]{1,%d}|▁" % LONGEST)
 
 
@@ -52,9 +52,10 @@ def words_of(text: str) -> list[str]:
 
 
 class Folder:
-    """The best path of one word, by the same fold as ``encode_words``."""
+    """The best path of one word, by the same fold as ``encode_words``; ``rare`` keeps the ids of RARE words at most."""
 
     def __init__(self, path: str):
+        self.rare: dict[str, bytes] = {}
         self.pieces, self.byte0, self.fallback, _ = piece_table(path)
         self.longest = max(map(len, self.pieces))
 
@@ -81,6 +82,12 @@ class Folder:
         return out[::-1]
 
 
+@functools.lru_cache(maxsize=4)
+def folder(path: str) -> Folder:
+    """The folder of this Python worker, kept from task to task."""
+    return Folder(path)
+
+
 def encode_words(words: DataFrame, path: str | None = None, word: str = "word") -> DataFrame:
     """(word, ids) of a table of distinct words, relationally."""
     spark = words.sparkSession
@@ -143,22 +150,22 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fold, rare = sent.value, Folder(path), {}
+        known, fold = sent.value, folder(path)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
+                rare = fold.rare
+                if len(rare) > RARE:
+                    rare.clear()
                 offsets, parts = [0], []
                 for t in b.column(b.num_columns - 1).to_pylist():
-                    own = []
-                    for w in words_of(t or ""):
-                        ids = known.get(w) or rare.get(w)
-                        if ids is None:
-                            if len(rare) >= 200_000:
-                                rare.clear()
-                            ids = rare[w] = np.array(fold(w), np.int32).tobytes()
-                        own.append(ids)
-                    parts.append(b"".join(own))
-                    offsets.append(offsets[-1] + len(parts[-1]) // 4)
+                    words = words_of(t or "")
+                    for w in {*words}:
+                        if w not in known and w not in rare:
+                            rare[w] = np.array(fold(w), np.int32).tobytes()
+                    part = b"".join([known.get(w) or rare[w] for w in words])
+                    parts.append(part)
+                    offsets.append(offsets[-1] + len(part) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), np.int32))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*keep, "ids"])
 
@@ -175,9 +182,15 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, byte0, _, texts = piece_table(path)
         spelled = np.array([bytes([i - byte0]) if byte0 <= i < byte0 + 256 else t.replace(MARK, " ").encode() for i, t in enumerate(texts)], dtype=object)
-        for b in batches:
-            found = [b"".join(spelled[np.asarray(x, np.int64)].tolist()).decode("utf-8", "replace")[1:] if x else "" for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], names=[*others, out])
+        for big in batches:
+            for at in range(0, big.num_rows, 128):
+                b = big.slice(at, 128)
+                column = b.column(b.num_columns - 1)
+                lengths = column.value_lengths().fill_null(0).to_numpy()
+                ends = np.cumsum(lengths)
+                words = spelled[column.flatten().to_numpy()]
+                found = [b"".join(words[e - n : e].tolist()).decode("utf-8", "replace")[1:] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], names=[*others, out])
 
     return plain.mapInArrow(run, schema)
 
