@@ -184,6 +184,5 @@ def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
 
 def fixed_tensors(table: pa.Table) -> pa.ExtensionArray:
     """The exploded ``values`` column of an Arrow table as a FixedShapeTensor array of shape (BLOCK, MELS)."""
-    flat = table.column("values").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)), pa.FixedSizeListArray.from_arrays(flat.flatten(), BLOCK * MELS))
+    values = pa.concat_arrays([c.flatten() for c in table.column("values").chunks]).cast(pa.float32())
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)), pa.FixedSizeListArray.from_arrays(values, BLOCK * MELS))
