@@ -31,7 +31,10 @@ SIZE, END_ID, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 1, 4096, 3
 PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-ɏ–—‘-”…€]*")
 #: The tokenizer's own cut, for PLAIN lower-cased texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-CACHE = 300_000
+CACHE = 500_000
+#: Byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Encoders of this Python worker, kept from task to task.
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -50,12 +53,11 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words that the tokenizer cuts as we do, encoded as one text: it cuts at the spaces, and numbers the words."""
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, which = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        edges = np.searchsorted(which, np.arange(len(new) + 1))
-        for i, w in enumerate(new):
-            yield w, ids[edges[i] : edges[i + 1]].tobytes()
+        """Words that the tokenizer cuts as we do go straight to its merge model, in its alphabet of bytes."""
+        merge = self.tokenizer.model.tokenize
+        for w in new:
+            known_bytes = w if w.isascii() else "".join([BYTE_ALPHABET[b] for b in w.encode()])
+            yield w, b"".join([t.id.to_bytes(4, "little") for t in merge(known_bytes)])
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
