@@ -70,7 +70,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: in
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
     at = np.flatnonzero(new)
     last = np.concatenate([at[1:] - 1, [len(starts) - 1]])
-    return starts[at], starts[last], hashes[anchor[at].astype(np.int64)]
+    return starts[at], starts[last], mix(hashes[anchor[at].astype(np.int64)] ^ np.uint64(0x5851F42D4C957F2D))  # anchors are small hashes; their keys must not be
 
 
 def _identity(text: bytes) -> int:
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         parts = frame["part"].notna().to_numpy()
         found_keys, found_docs = [], []
         for key64, d in zip(frame["part"][parts], frame["docs"][parts], strict=True):
-            d = np.frombuffer(d, np.int64).reshape(-1, 3)
+            d = postings.unpack_docs(d, 3)
             found_keys.append(np.full(len(d), int(key64), np.uint64))
             found_docs.append(d[:, [0, 2]])
         if not parts.all():
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         here = table.column("block")[0].as_py()
         for s, a, b in pieces_of(slice_no[lead]):
             pick = lead[a:b]
-            rows.append((s, here, names[pick].tobytes(), sizes[pick].astype(np.uint8 if width <= 128 else np.uint32).tobytes(), np.stack([small[a:b], large[a:b]]).tobytes(), zstandard.compress(_gather(text_all, begin[pick], sizes[pick]).tobytes(), 3)))
+            rows.append((s, here, names[pick].tobytes(), sizes[pick].astype(np.uint8 if width <= 128 else np.uint32).tobytes(), zstandard.compress(np.stack([small[a:b], large[a:b] - small[a:b]]).tobytes(), 3), zstandard.compress(_gather(text_all, begin[pick], sizes[pick]).tobytes(), 3)))
         cols = list(zip(*rows, strict=True))
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(CONTEXT_TYPES, cols, strict=True)})
 
@@ -299,8 +299,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         rows = table.to_pylist()
         names = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], size_type) for r in rows]).astype(np.int64)
-        bounds = [np.frombuffer(r["keys"], np.int64).reshape(2, -1) for r in rows]
-        small, large = np.concatenate([k[0] for k in bounds]), np.concatenate([k[1] for k in bounds])
+        bounds = [np.frombuffer(zstandard.decompress(r["keys"]), np.int64).reshape(2, -1) for r in rows]
+        small = np.concatenate([k[0] for k in bounds])
+        large = small + np.concatenate([k[1] for k in bounds])
         block_of = np.repeat([r["block"] for r in rows], [k.shape[1] for k in bounds])
         text_all = np.frombuffer(b"".join(zstandard.decompress(r["packed"]) for r in rows), np.uint8)
         begin = np.cumsum(sizes) - sizes
