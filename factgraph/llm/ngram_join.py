@@ -8,9 +8,10 @@ larger hash. The other lists, the short ones, are merged for candidates; long on
 search when a candidate is verified.
 
 Links are found in two rounds, so that a group of m near copies costs about m pairs and not m squared.
-Round one takes every short list as a star around its smallest id. Round two takes the pairs of a list
-whose documents are still in different groups; no link between groups is lost, and links inside a group
-cannot change it. Documents with equal sets link without any search.
+Round one takes every short list as a star around its smallest id. Round two takes the lists whose
+documents are still in different groups: each document outside a list's largest group meets the others, in
+blocks, and only pairs that the bounds below admit leave the block. No link between groups is lost, and
+links inside a group cannot change it. Documents with equal sets link without any search.
 
 A pair is verified only if two cheap bounds admit it: the sizes of its sets, and a bit parity signature,
 whose distance is never more than the number of shingles in one set only. Sets are made where texts are
@@ -36,9 +37,9 @@ from factgraph.llm.graph import connected_components
 
 N, PERCENT = 5, 75
 #: The sample that finds frequent shingles, how many are remembered, and from how many sampled documents.
-SAMPLE, FREQUENT, AT_LEAST = 1 / 32, 1 << 16, 3
-#: Lists of more documents are handled as long in round two; candidates of one verification task.
-LONG_LIST, BLOCK = 64, 128
+SAMPLE, FREQUENT, AT_LEAST = 1 / 16, 1 << 17, 3
+#: Documents of a list that are compared at once in round two; candidates of one verification task.
+LIST_BLOCK, BLOCK = 256, 128
 #: Largest signature in bits, and bits of the bitmap of wanted documents.
 SIGNATURE, BITMAP = 1 << 13, 1 << 25
 _COEFFICIENTS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +199,7 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
                 if not len(s) or (f := fingerprint(s)) in seen:
                     continue
                 seen.add(f)
-                writer.add(short_lists(s, frequent.value, percent), k, len(s))
+                writer.add(mix(short_lists(s, frequent.value, percent).copy()), k, len(s))
                 if writer.full():
                     yield from writer.flush()
                     seen.clear()
@@ -214,7 +215,7 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
         parts_here = frame["part"].notna().to_numpy()
         found: dict[bytes, tuple[int | None, np.ndarray]] = {}
         for key64, d in zip(frame["part"][parts_here], frame["docs"][parts_here], strict=True):
-            ids = np.unique(np.frombuffer(d, np.int64).reshape(-1, 2)[:, 0])
+            ids = np.unique(postings.unpack_docs(d, 2)[:, 0])
             found.setdefault(ids.tobytes() + int(key64).to_bytes(8, "little"), (int(key64), ids))
         if not parts_here.all():
             keys, owner, table = postings.read_slice(frame[~parts_here], 3)
@@ -248,22 +249,25 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
     # Round two: of each list, the pairs of documents that are still in different groups.
     members = shared.where((F.size("ids") > 2) | F.col("hot").isNotNull()).select("list", F.explode("ids").alias("id")).distinct()
     members = members.join(reps, "id", "left").withColumn("id", F.coalesce("r", "id")).drop("r").distinct()
-    members = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).join(measured.select("id", "n"), "id")
-    mixed = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    open_lists = stage_table(members.join(mixed.select("list", "c"), "list"), "open")
-    whole = F.array_sort(F.collect_list(F.struct("id", "component", "n")))
-    small = open_lists.where(F.col("c") <= LONG_LIST).groupBy("list").agg(whole.alias("m")).select("m").distinct()
-    fits = lambda x, y: (x["component"] != y["component"]) & (F.lit(percent) * F.greatest(x["n"], y["n"]) <= F.lit(100) * F.least(x["n"], y["n"]))
-    within = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["id"] < y["id"]) & fits(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b")
-    # In a long list every document outside the largest group meets all others.
-    big = open_lists.where(F.col("c") > LONG_LIST)
-    per = big.groupBy("list", "component").agg(F.count("*").alias("k"))
-    largest = per.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    minor = big.join(largest, "list").where("component <> main").select("list", F.struct("id", "component", "n").alias("x"))
-    crossed = minor.join(big.select("list", F.struct("id", "component", "n").alias("y")), "list").where(fits(F.col("x"), F.col("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = pairs.unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stage_table(admitted(rest, measured, percent).join(near, ["a", "b"], "left_anti"), "rest")
+    members = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sums = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).where("lo <> hi")
+    once = sums.groupBy("c", "s").agg(F.min("list").alias("list"))  # equal lists of different shingles are compared once
+    open_lists = stage_table(members.join(once.select("list", "c"), "list"), "open")
+    per = open_lists.groupBy("list", "c", "component").agg(F.count("*").alias("k"))
+    main = per.groupBy("list", "c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k"))
+    main = main.select("list", "main", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("nj"), F.ceil((F.col("c") - F.col("k")) / LIST_BLOCK).cast("int").alias("ni"))
+    member = open_lists.drop("c").join(main, "list").join(measured.select("id", "n", "bits"), "id")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["list", "id", "component", "n", "bits"]
+    all_ = member.select(*columns, place("nj").alias("j"), every("ni").alias("i"), F.lit(False).alias("minor"))
+    minor = member.where("component <> main").select(*columns, place("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("minor"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(admitted_pairs(frame, percent), columns=["a", "b"], dtype=np.int64)
+
+    rest = all_.unionByName(minor).groupBy("list", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rest = stage_table(rest.join(near, ["a", "b"], "left_anti"), "rest")
     more = None if rest.isEmpty() else stage_table(verify(rest, docs, key, text, n, percent), "links")
     if more is not None and not more.isEmpty():
         between = more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -288,6 +292,31 @@ def admitted(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")).select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
+def admitted_pairs(frame: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a minor document with any other of another component that sizes and signatures do not rule out."""
+    minor = frame["minor"].to_numpy()
+    rest = frame[~minor]
+    ids, component, n = (rest[c].to_numpy() for c in ("id", "component", "n"))
+    width = np.array([len(x) for x in rest["bits"]])
+    tables = {w: (np.flatnonzero(width == w), np.stack([np.frombuffer(x, np.uint8) for x in rest["bits"][width == w]])) for w in np.unique(width).tolist()}
+    out = []
+    for id_, c, size, bits in zip(*(frame[k][minor].to_numpy() for k in ("id", "component", "n", "bits")), strict=True):
+        own = np.frombuffer(bits, np.uint8)
+        for w, (rows, table) in tables.items():
+            fit = np.flatnonzero((component[rows] != c) & (percent * np.maximum(n[rows], size) <= 100 * np.minimum(n[rows], size)))
+            if not len(fit):
+                continue
+            x, y = own, table[fit]
+            while len(x) > y.shape[1]:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while y.shape[1] > len(x):
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            total = n[rows][fit] + size
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
+            out.extend((min(id_, b), max(id_, b)) for b in ids[rows][fit][near].tolist())
+    return out
+
+
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Each a is a query against blocks of its candidates b."""
 
