@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 
 def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) at least distance, to ``depth`` at most; every level is one join and an anti-join with what was seen.
+    """(node, depth) at least distance, to ``depth`` at most; every level is one join over a deduplicated frontier.
 
-    ``edges`` has src and dst, ``roots`` has node. The number of joins is bounded by ``depth``; a frontier is
-    deduplicated before it is expanded, so cycles end and hot nodes are expanded once.
+    ``edges`` has src and dst, ``roots`` has node. A node met again at a later level is settled by the final
+    minimum rather than by an anti-join at each level, which would double the plan with every level.
     """
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    frontier = roots.select("node").distinct()
+    levels = frontier.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        levels = levels.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return levels.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def classify(relationship: Column, target: Column) -> Column:
