@@ -6,7 +6,7 @@ predicts it: embeddings, one tanh layer, soft-max. A document's score is the sum
 log-probabilities of all its words.
 
 Word counts cover all documents. The network is trained in numpy by the tasks that read the corpus, each
-from the same weights over its share of ``train_share`` of the documents, and the weights are averaged by
+from the same weights in one pass over all its documents, and the weights are averaged by
 words seen (a sum per weight, so what reaches the driver has the size of the network). What is gathered so
 grows with the corpus. Null and empty texts have no words: sum 0, mean 0.
 """
@@ -149,11 +149,11 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     return Vocabulary(np.array([r["h"] for r in top], np.int64).astype(np.uint64))
 
 
-def train(docs: DataFrame, words: Vocabulary, text: str = "text", key: str = "doc_id", train_share: float = 1 / 12, rounds: int = 2, batch: int = 1024, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, words: Vocabulary, text: str = "text", key: str = "doc_id", train_share: float = 1.0, rounds: int = 1, batch: int = 1024, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Averaged weights after ``rounds`` passes over the share."""
     now = initial()
     spark = docs.sparkSession
-    share = docs.where(fraction_filter(key, train_share, 41)).select(F.col(text).cast("string"))
+    share = (docs if train_share >= 1 else docs.where(fraction_filter(key, train_share, 41))).select(F.col(text).cast("string"))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((flat(now), words))
 

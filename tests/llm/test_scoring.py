@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from factgraph.llm import langid, lm, quality, toxicity
+from factgraph.llm.common import fraction_filter
 
 
 def test_measures():
@@ -132,3 +133,11 @@ def test_pseudo_likelihood(spark):
         total += float(z[0, target] - np.log(np.exp(z[0]).sum()))
     assert rows[0]["sum_log_prob"] == pytest.approx(total, rel=1e-4)
     assert lm.score_documents(df.limit(0), net, words).count() == 0
+
+
+def test_every_document_shapes_the_weights(spark):
+    df = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(60)], "doc_id long, text string")
+    outside = df.where(~fraction_filter("doc_id", 1 / 12, 41))
+    assert outside.count() > 0
+    net = lm.train(outside, lm.vocabulary(df))
+    assert any((net[k] != w).any() for k, w in lm.initial().items())
