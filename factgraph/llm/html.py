@@ -2,8 +2,8 @@
 
 A tolerant tokenizer builds the tree of block elements. Every paragraph earns points for its length and
 commas, discounted by the share of its characters inside links, and passes them to its ancestors with
-falling weight. The container with most points is the article; siblings that score high enough, or that
-are text-like paragraphs, are kept with it. Elements that are never article text (menus, headers, footers,
+falling weight. The container with most points is the article, or the article or main element around it;
+siblings that score high enough, or that hold few links, are kept with it. Elements that are never article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments), by tag or by class and id, are left out
 wherever they stand. Null, empty and textless html gives an empty text.
 """
@@ -178,16 +178,18 @@ def main_text(source: str) -> str:
     best = max((i for i in range(n) if chars[i] and not page.dropped[i]), key=lambda i: (points[i], -i), default=0)
     if points[best] <= 0:
         best = 0
+    around = best
+    while around >= 0 and page.tags[around] not in ("article", "main"):
+        around = page.parents[around]
+    best = around if around > 0 else best
     keep = {best}
     parent = page.parents[best]
-    if parent > 0:
+    if parent >= 0:
         least = max(10.0, points[best] * 0.2)
-        paragraphs = {b[0]: b for b in shown}
         for i in range(n):
             if page.parents[i] == parent and i != best and chars[i]:
                 density = links[i] / chars[i]
-                tag = page.tags[i]
-                if points[i] >= least and density < 0.5 or tag == "p" and (chars[i] > 80 and density < 0.25 or chars[i] <= 80 and not links[i] and paragraphs.get(i, (0, "", 0))[1][-1:] == ".") or tag == "h1":
+                if points[i] >= least and density < 0.5 or density < 0.25 or page.tags[i] == "h1":
                     keep.add(i)
     inside = [False] * n
     for i in range(n):

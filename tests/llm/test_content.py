@@ -108,3 +108,12 @@ def test_encode_decode_round_trip(spark):
     rows = {r["doc_id"]: r["decoded"] for r in lattice.decode(lattice.encode(df, dictionary=5)).collect()}
     assert rows == {i: t or "" for i, t in enumerate(texts)}
     assert lattice.encode(df.limit(0)).count() == 0
+
+
+def test_main_text_keeps_the_whole_article():
+    long = "One sentence of the story, with commas, and enough words to earn its points in the tree. " * 2
+    short = "A single closing paragraph of some sixty characters in all"
+    page = f"<body><article><h2>Start</h2><section>{f'<p>{long}</p>' * 20}</section><h2>End</h2><section><p>{short}</p></section><ul><li>Last point</li></ul><nav><a href=x>Menu</a></nav></article></body>"
+    assert html.main_text(page).split("\n\n") == ["Start", *[long.strip()] * 20, "End", short, "Last point"]
+    loose = f"<body><div><h2>Start</h2><div>{f'<p>{long}</p>' * 20}</div><p>no full stop</p><blockquote>Quoted</blockquote><ul><li>Point</li></ul><div><a href=x>linked text</a></div></div></body>"
+    assert html.main_text(loose).split("\n\n") == ["Start", *[long.strip()] * 20, "no full stop", "Quoted", "Point"]
