@@ -40,7 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, added_tokens=True)
 
 
 STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near duplicates", near_duplicates), ("suffix-array dedup", repeated_passages), ("best-fit packing", pack_sequences)]

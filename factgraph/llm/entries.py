@@ -32,7 +32,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), added_tokens=True)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

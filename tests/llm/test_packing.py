@@ -55,3 +55,22 @@ def test_crossover_keeps_every_piece_once(seed):
     assert all(sum(lengths[i] for i in x) <= 100 for x in child)
     best = evolve(lengths, [], 100, 20, rng)[0]
     assert len(best) <= len(packed(sorted(range(120), key=lambda i: -lengths[i]), lengths, 100))
+
+
+def test_queries_match_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from factgraph.llm import entries
+
+    texts = [*(t for t in TEXTS if t is not None), "a <|endoftext|> b", "x<|startoftext|>é 日本 <|endoftext|>", "<|ENDOFTEXT|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(default_tokenizer())
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 4096):
+            want[i, at // 4096] = (len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
+    for out in (entries.op3_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in out.collect()} == want
