@@ -1,21 +1,23 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-A text is led by the space mark, spaces become marks, and each mark or line starts a new word. The lattice
+A text is led by the space mark, spaces become marks, and each run of marks or line starts a new word; no
+piece of the model reaches over such a bound. The lattice
 of a word has an edge for each of its substrings that is a piece, and one for each character as its UTF-8
 byte pieces, at a score below all others. ``encode_words`` builds it relationally: substrings of bounded
 length are exploded, equi-joined to the piece table, grouped by word, and the best path is folded with
 ``aggregate`` over the edges in order of their end. Among equal paths the longer last piece wins.
 
-``encode`` counts the words of all documents and encodes the DICTIONARY most frequent ones so; that table
-has a fixed bound and is broadcast. Rarer words take the same fold where the documents are read, for a
+``encode`` counts the words of all documents, of LONGEST characters at most, and encodes the DICTIONARY most frequent ones so; that table
+has a fixed bound and is broadcast. Rarer and longer words take the same fold where the documents are read, for a
 relational lattice of every distinct word of a corpus would write many times the corpus to disk.
-Words longer than LONGEST characters are cut there. Null texts are empty and have no pieces.
+Null texts are empty and have no pieces.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 400_000
-WORD = re.compile(r"\n|▁?[^▁\n]{1,%d}|▁" % LONGEST)
+WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -61,7 +63,7 @@ class Folder:
 
     def __call__(self, word: str) -> list[int]:
         n, get = len(word), self.pieces.get
-        best, back = [0.0], [(0, 0)]
+        best, steps, ids = array("d", [0.0]), array("i", [0]), array("i", [0])
         for end in range(1, n + 1):
             top, step, which = best[end - 1] + self.fallback * len(word[end - 1].encode()), 1, -1
             found = False
@@ -73,10 +75,11 @@ class Folder:
                         if found or score >= top:
                             top, step, which, found = score, end - start, hit[0], True
             best.append(top)
-            back.append((step, which))
+            steps.append(step)
+            ids.append(which)
         out: list[int] = []
         while n:
-            step, which = back[n]
+            step, which = steps[n], ids[n]
             out.extend([which] if which >= 0 else [self.byte0 + b for b in reversed(word[n - 1].encode())])
             n -= step
         return out[::-1]
@@ -120,7 +123,7 @@ def encode_words(words: DataFrame, path: str | None = None, word: str = "word")
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, count) over all documents, summed up in each task first."""
+    """(word, count) over all documents of the words of LONGEST characters at most, summed up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -130,7 +133,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts.update(words_of(t or ""))
+                counts.update(w for w in words_of(t or "") if len(w) <= LONGEST)
                 if len(counts) > 500_000:
                     yield out()
                     counts.clear()
@@ -160,10 +163,11 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 offsets, parts = [0], []
                 for t in b.column(b.num_columns - 1).to_pylist():
                     words = words_of(t or "")
+                    long: dict[str, bytes] = {}
                     for w in {*words}:
                         if w not in known and w not in rare:
-                            rare[w] = np.array(fold(w), np.int32).tobytes()
-                    part = b"".join([known.get(w) or rare[w] for w in words])
+                            (rare if len(w) <= LONGEST else long)[w] = np.array(fold(w), np.int32).tobytes()
+                    part = b"".join([known.get(w) or rare.get(w) or long[w] for w in words])
                     parts.append(part)
                     offsets.append(offsets[-1] + len(part) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), np.int32))

@@ -117,3 +117,15 @@ def test_main_text_keeps_the_whole_article():
     assert html.main_text(page).split("\n\n") == ["Start", *[long.strip()] * 20, "End", short, "Last point"]
     loose = f"<body><div><h2>Start</h2><div>{f'<p>{long}</p>' * 20}</div><p>no full stop</p><blockquote>Quoted</blockquote><ul><li>Point</li></ul><div><a href=x>linked text</a></div></div></body>"
     assert html.main_text(loose).split("\n\n") == ["Start", *[long.strip()] * 20, "no full stop", "Quoted", "Point"]
+
+
+def test_encoding_is_the_best_path_of_the_whole_text(spark):
+    texts = ["a" + " " * k + "b" for k in (2, 3, 4, 17, 40)] + ["日本語テキスト" * 30, "https://example.org/" + "internationalization" * 9, "  lead\n\n   code", "x" * 47 + "international"]
+    pieces, byte0, fallback, spelled = lattice.piece_table(lattice.default_path())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dictionary in (0, 100):
+        coded = lattice.encode(df, keep=("doc_id", "text"), dictionary=dictionary)
+        for r in coded.collect():
+            score = sum(fallback if byte0 <= i < byte0 + 256 else pieces[spelled[i]][1] for i in r["ids"])
+            assert score == pytest.approx(best_score("▁" + r["text"].replace(" ", "▁")))
+        assert {r["doc_id"]: r["decoded"] for r in lattice.decode(coded.drop("text")).collect()} == dict(enumerate(texts))
