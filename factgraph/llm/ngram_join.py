@@ -1,50 +1,64 @@
 """Jaccard self-join on word n-grams by T-occurrence search, and the groups that its links make.
 
 Two documents link when percent * |A or B| <= 100 * |A and B| for their sets of word shingles. A set of n
-shingles must share at least ceil(percent * n / 100) with any partner, so by the DivideSkip argument at most
-that number less one of its inverted lists need not be merged: the long ones. Here the long lists are those
-of frequent shingles (found on a bounded sample; this only sets the order, never the result), then those of
-larger hash. The other lists, the short ones, are merged for candidates; long ones are probed by binary
-search when a candidate is verified.
-
-Links are found in two rounds, so that a group of m near copies costs about m pairs and not m squared.
-Round one takes every short list as a star around its smallest id. Round two takes the lists whose
-documents are still in different groups: each document outside a list's largest group meets the others, in
-blocks, and only pairs that the bounds below admit leave the block. No link between groups is lost, and
-links inside a group cannot change it. Documents with equal sets link without any search.
-
-A pair is verified only if two cheap bounds admit it: the sizes of its sets, and a bit parity signature,
-whose distance is never more than the number of shingles in one set only. Sets are made where texts are
-read, for documents of admitted pairs, told by a bitmap of fixed size and then exactly.
-
-Null texts and texts without words have the empty set and stay alone. Shingles are 64-bit hashes of words;
-equal sets are told by 128 bits. Keys must be unique whole numbers; other columns are not read.
+shingles shares at least T = ceil(percent * n / 100) with any partner. The join runs in four steps:
+
+1. Counting. Postings (shingle, document) of all documents meet by shingle, packed, in slices sized by text
+   volume; a shingle of one document alone goes no further. The others, with their numbers of documents,
+   return to their documents. A document with fewer than T shared shingles has no partner.
+2. Short lists. The shingles of a document in order of frequency, rarest first: of those that all documents
+   order alike, two partners share one of the first n - T + 1. Only these lists, the short ones, propose
+   candidates; the T - 1 more frequent shingles, the long lists, never do.
+3. Rounds. Round one takes each short list as a star around its smallest document. Round two takes the lists
+   whose documents are still in different groups: each document outside a list's largest group meets the
+   others, in blocks, and only pairs that two bounds admit leave the block (the sizes, and the distance of
+   parity bitmaps, which is never more than the number of shingles in one set only). So a group of m near
+   copies costs about m pairs and not m squared; links inside a group cannot change it.
+4. DivideSkip. Each document is a query against the inverted lists of a block of its candidates: a heap
+   merges the short lists, candidates that can still reach their overlap are looked up in the long ones by
+   binary search, and those that reach it are links.
+
+Shingles that a sample finds frequent (FREQUENT at most) are not posted, or a third of all rows could meet in one
+slice; they come last in the order and travel with their documents. A shingle outside that list is in less
+than about 1/400 of the documents, since the frequent ones would fill the documents otherwise.
+
+Shingles are 64-bit hashes of words, told apart by 40 bits and their slice; equal sets are found by 128 bits
+and link without a search. Null texts and texts without words have the empty set and stay alone. Rows of one
+key are one document for the groups: each row comes back, with its own n_shingles, and all have one component.
+A row of null key is a document of its own; its component is the smallest key of its group, null if there is none.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm import postings
-from factgraph.llm.common import encoded, fraction_filter, mix, partitions, slices, span_hashes, stage_table, word_spans
+from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, slices, span_hashes, stage_table, word_spans
 from factgraph.llm.graph import connected_components
+from factgraph.llm.postings import pack_docs, slice_of, unpack_docs
 
 N, PERCENT = 5, 75
 #: The sample that finds frequent shingles, how many are remembered, and from how many sampled documents.
 SAMPLE, FREQUENT, AT_LEAST = 1 / 16, 1 << 17, 3
-#: Documents of a list that are compared at once in round two; candidates of one verification task.
+#: Bytes of text whose postings make a slice, the least number of slices, and postings that a task holds before it sends them.
+SLICE_TEXT, LEAST, FLUSH, FLUSH_DOCS = 16 << 20, 8, 1_500_000, 30_000
+#: Documents of a list that are compared at once in round two; candidates of one search.
 LIST_BLOCK, BLOCK = 256, 128
-#: Largest signature in bits, and bits of the bitmap of wanted documents.
-SIGNATURE, BITMAP = 1 << 13, 1 << 25
+#: Bitmap bits for each shingle (rounded up to a power of two), and at most.
+SPREAD, SIGNATURE = 8, 1 << 13
 _COEFFICIENTS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOW = np.uint64((1 << 40) - 1)
 
 
 def shingle_sets(texts: list[bytes], n: int = N) -> Iterator[np.ndarray]:
@@ -79,22 +93,18 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """For each of 2**k buckets of hashes, at least as many as shingles (up to SIGNATURE), whether the count is odd."""
-    bits = min(SIGNATURE, 1 << max(6, len(s) - 1).bit_length())
-    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes() if len(s) else b""
+    """For each of 2**k buckets, SPREAD times the shingles or more (up to SIGNATURE), whether the count of shingles is odd."""
+    if not len(s):
+        return b""
+    bits = min(SIGNATURE, 1 << max(63, SPREAD * len(s) - 1).bit_length())
+    spot = mix(s.astype(np.uint64)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(spot.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
 def far_apart(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
     """True only if the two sets can't link."""
-    if percent * max(nx, ny) > 100 * min(nx, ny):
-        return True
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    while len(b) > len(a):  # bucket i of the smaller is buckets i and i + half of the larger
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    apart = int(np.bitwise_count(a ^ b).sum())
-    return apart > nx + ny - 2 * -(-percent * (nx + ny) // (100 + percent))
+    frame = pd.DataFrame({"id": [1, 2], "component": [1, 2], "n": [nx, ny], "m": [nx, ny], "bits": [x, y], "minor": [True, False]})
+    return not admitted_pairs(frame, percent)
 
 
 def needed(n: int, percent: int) -> int:
@@ -102,56 +112,52 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def short_lists(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles whose lists are merged: all but the ``needed`` - 1 last in the order (frequent, hash)."""
-    n = len(s) - needed(len(s), percent) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        common = frequent[at] == s
-        if common.any():
-            s = np.concatenate([s[~common], s[common]])
-    return s[:n]
+def divide_skip(query: np.ndarray, sizes: list[int], candidates: list[np.ndarray], size: int, percent: int) -> list[bool]:
+    """Which candidates link with the query.
 
-
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which candidate sets link with the query.
-
-    The query's shingles have inverted lists over the candidates. The L longest are set apart; the others are
-    merged in order of document and give each candidate a count; where the count can still reach the overlap
-    that this candidate needs, the long lists are probed by binary search.
+    ``query`` and ``candidates`` hold the sorted shingles that can be shared, ``size`` and ``sizes`` count all shingles.
+    The query's shingles have inverted lists over the candidates. The L longest are set apart; a heap merges
+    the others in order of candidate. A candidate that they give a count within L of the overlap that it
+    needs is probed in the long lists by binary search, until it reaches that overlap or no longer can.
     """
-    sizes = np.array([len(c) for c in candidates])
-    need = -(-percent * (len(query) + sizes) // (100 + percent))
-    if not len(query) or not len(candidates):
-        return np.zeros(len(candidates), bool)
-    owner = np.repeat(np.arange(len(candidates)), sizes)
+    out = [False] * len(candidates)
+    if not len(query) or not candidates:
+        return out
+    need = [-(-percent * (size + n) // (100 + percent)) for n in sizes]
     flat = np.concatenate(candidates)
+    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
     at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
     hit = query[at] == flat
     token, doc = at[hit], owner[hit]
     order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
     length = np.bincount(token, minlength=len(query))
-    first = np.concatenate([[0], np.cumsum(length)])
-    longest = min(int(need.min()) - 1, int(need.min() / (0.01 * np.log(max(2, length.max())) + 1)))
-    long_tokens = np.argsort(-length, kind="stable")[: max(0, longest)]
-    is_long = np.zeros(len(query), bool)
-    is_long[long_tokens] = True
-    merged = np.sort(doc[~is_long[token]])
-    count = np.bincount(merged, minlength=len(candidates))
-    alive = np.flatnonzero((count >= need - len(long_tokens)) & (count + len(long_tokens) >= need))
-    left = len(long_tokens)
-    for t in long_tokens.tolist():
-        if not len(alive):
-            break
-        block = doc[first[t] : first[t + 1]]
-        if len(block):
-            where = np.minimum(np.searchsorted(block, alive), len(block) - 1)
-            count[alive] += block[where] == alive
-        left -= 1
-        alive = alive[count[alive] + left >= need[alive]]
-    out = np.zeros(len(candidates), bool)
-    out[alive[count[alive] >= need[alive]]] = True
+    lists = sorted((x.tolist() for x in np.split(doc[order], np.cumsum(length)[:-1]) if len(x)), key=len)
+    least = min(need)
+    if not lists or least > len(lists):
+        return out
+    n_long = min(least - 1, int(least / (0.01 * np.log(max(2, len(lists[-1]))) + 1)))
+    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    heap = [(x[0], k, 0) for k, x in enumerate(short)]
+    heapq.heapify(heap)
+    while heap:
+        now, count = heap[0][0], 0
+        while heap and heap[0][0] == now:
+            _, k, i = heap[0]
+            count += 1
+            if i + 1 < len(short[k]):
+                heapq.heapreplace(heap, (short[k][i + 1], k, i + 1))
+            else:
+                heapq.heappop(heap)
+        left = n_long
+        if count + left < need[now]:
+            continue
+        for block in reversed(long):
+            if count >= need[now] or count + left < need[now]:
+                break
+            i = bisect_left(block, now)
+            count += i < len(block) and block[i] == now
+            left -= 1
+        out[now] = count >= need[now]
     return out
 
 
@@ -166,7 +172,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, body, schema: str) -> Da
 
 
 def frequent_shingles(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
-    """Shingles of AT_LEAST sampled documents or more, the FREQUENT most frequent at most, sorted."""
+    """Shingles of AT_LEAST sampled documents or more, the FREQUENT most frequent at most, rarest first."""
 
     def body(batches):
         for _, sets in batches:
@@ -176,90 +182,188 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, n: int) -> np.ndarra
 
     tokens = _sets(docs.where(fraction_filter(key, SAMPLE)), key, text, n, body, "token long")
     top = tokens.groupBy("token").count().where(F.col("count") >= AT_LEAST).orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).astype(np.uint64))
+    return top["token"].to_numpy(np.int64).astype(np.uint64)[::-1].copy()
+
+
+class _Frequent:
+    """Splits a set into its frequent shingles, as ranks, and the others."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.rank = np.argsort(tokens).astype(np.int32)
+        self.tokens = tokens[self.rank]
+
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.tokens) or not len(s):
+            return np.zeros(0, np.int32), s
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        known = self.tokens[at] == s
+        return np.sort(self.rank[at[known]]), s[~known]
+
+
+def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1], [True]])) if len(sorted_keys) else []
+    yield from zip(at[:-1], at[1:], strict=True)
+
+
+def shared_sets(docs: DataFrame, measured: DataFrame, frequent, slices_n: int, text: str, key: str, n: int, percent: int) -> DataFrame:
+    """(id, n, m, prefix, s, bits) of the documents of ``measured`` that can have a partner: their short lists, all m shared shingles, and the bitmap of these."""
+
+    def post(batches):
+        sets_: list[np.ndarray] = []
+        ids: list[int] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(s) for s in sets_])
+            where = slice_of(keys, slices_n)
+            order = np.argsort(where.astype(np.uint16) if slices_n < 1 << 16 else where, kind="stable")
+            keys, owner, where = keys[order], owner[order], where[order]
+            rows = []
+            for a, b in _cuts(where):
+                used, local = np.unique(owner[a:b], return_inverse=True)
+                low = keys[a:b] & _LOW
+                packed = low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes()
+                rows.append((int(where[a]), packed, local.astype(np.uint16).tobytes(), pack_docs(np.array(ids, np.int64)[used][:, None])))
+            sets_.clear()
+            ids.clear()
+            if rows:
+                c = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["slice", "keys", "owners", "docs"])
+
+        size = 0
+        for keys, sets in batches:
+            for k, s in zip(keys, sets, strict=True):
+                _, rest = frequent.value.split(s)
+                if not len(rest):
+                    continue
+                sets_.append(rest)
+                ids.append(k)
+                size += len(rest)
+                if size >= FLUSH or len(ids) >= FLUSH_DOCS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    back = "block int, slice int, ids binary, tokens binary, counts binary"
+
+    def count(table: pa.Table) -> pa.Table:
+        """The shingles of a slice that several documents have, back to the documents."""
+        keys, owner, ids, base = [], [], [], 0
+        for k, o, d in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "docs")), strict=True):
+            d, m = unpack_docs(d, 1)[:, 0], len(o) // 2
+            keys.append(np.frombuffer(k, np.uint32, m).astype(np.uint64) | np.frombuffer(k, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32))
+            owner.append(np.frombuffer(o, np.uint16).astype(np.int32) + base)
+            ids.append(d)
+            base += len(d)
+        key, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.concatenate([first, [len(key)]]))
+        many = np.repeat(many, many)
+        pick = np.flatnonzero(many > 1)
+        key, many, ids = key[pick], np.minimum(many[pick], 65535), ids[np.concatenate(owner)[order[pick]]]
+        block = _block_of(ids, slices_n)
+        order = np.lexsort((ids, block))
+        key, many, ids, block = key[order], many[order], ids[order], block[order]
+        rows = [(int(block[a]), zstandard.compress(np.diff(ids[a:b], prepend=0).tobytes(), 1), key[a:b].astype(np.uint32).tobytes() + (key[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), many[a:b].astype(np.uint16).tobytes()) for a, b in _cuts(block)]
+        c = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({"block": pa.array(c[0], pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()] * len(rows), pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in zip(("ids", "tokens", "counts"), c[1:], strict=True)}})
+
+    types = [("id", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("prefix", pa.list_(pa.int64())), ("s", pa.binary()), ("bits", pa.binary())]
+
+    def gather(own: pa.Table, replies: pa.Table) -> pa.Table:
+        """Of the documents of a block those that share enough."""
+        out: list[tuple] = []
+        names, order = np.unique(own.column("id").to_numpy(), return_index=True) if own.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = own.column("n").to_numpy()[order] if own.num_rows else order
+        ids, tokens, counts = [], [], []
+        for i, t, c, s in zip(*(replies.column(x).to_pylist() for x in ("ids", "tokens", "counts", "slice")), strict=True):
+            m = len(c) // 2
+            ids.append(np.cumsum(np.frombuffer(zstandard.decompress(i), np.int64)))
+            tokens.append(np.frombuffer(t, np.uint32, m).astype(np.int64) | np.frombuffer(t, np.uint8, m, 4 * m).astype(np.int64) << 32 | (s + 1) << 40)
+            counts.append(np.frombuffer(c, np.uint16).astype(np.int32))
+        common = [np.frombuffer(x, np.int32) for x in own.column("frequent").take(pa.array(order)).to_pylist()] if own.num_rows else []
+        ids.extend(np.full(len(x), i) for x, i in zip(common, names.tolist(), strict=True))
+        tokens.extend(x.astype(np.int64) for x in common)
+        counts.append(np.full(sum(map(len, common)), 1 << 20, np.int32))
+        if len(names):
+            ids_, token, count_ = np.concatenate(ids), np.concatenate(tokens), np.concatenate(counts)
+            doc = np.minimum(np.searchsorted(names, ids_), len(names) - 1)
+            shared = np.bincount(doc[names[doc] == ids_], minlength=len(names))
+            enough = shared >= np.maximum(1, -(-percent * n // 100))
+            use = np.flatnonzero((names[doc] == ids_) & enough[doc])
+            use = use[np.lexsort((token[use], count_[use], doc[use]))]
+            doc, token = doc[use], token[use]
+            for a, b in _cuts(doc):
+                d, mine = int(doc[a]), token[a:b]
+                s = np.sort(mine).astype(np.uint64)
+                out.append((int(names[d]), int(n[d]), len(mine), mine[: len(mine) - needed(int(n[d]), percent) + 1], s.tobytes(), signature(s)))
+        c = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.table({k: pa.array(x, t) for (k, t), x in zip(types, c, strict=True)})
+
+    counted = _sets(docs, key, text, n, post, "slice int, keys binary, owners binary, docs binary").groupBy("slice").applyInArrow(count, back)
+    return measured.select("block", "id", "n", "frequent").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(gather, "id long, n long, m long, prefix array<long>, s binary, bits binary")
 
 
 def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component) of every row: the component is the smallest key reachable by links."""
+    if docs.groupBy(F.col(key)).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        return _groups(docs, text, key, n, percent, None)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).groupBy("id", "text").agg(F.count("*").alias("times"))
+    rows = stage_table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    first = rows.groupBy("id").agg(F.min("row").alias("a"))
+    same = rows.join(first, "id").where("a <> row").select("a", F.col("row").alias("b"))
+    found = _groups(rows, "text", "row", n, percent, same).withColumnRenamed("id", "row").join(rows.select("row", "id", "times"), "row")
+    names = found.groupBy("component").agg(F.min("id").alias("name"))
+    return found.join(names, "component").select("id", "n_shingles", F.col("name").alias("component"), F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
+
+
+def _groups(docs: DataFrame, text: str, key: str, n: int, percent: int, same: DataFrame | None) -> DataFrame:
+    """``ngram_groups`` of unique keys; ``same`` holds further links (a, b)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, key, text, n))
+    volume = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    slices_n = int(max(LEAST, volume // SLICE_TEXT))
+    frequent = spark.sparkContext.broadcast(_Frequent(frequent_shingles(docs, key, text, n)))
 
     def sizes(batches):
         for keys, sets in batches:
-            rows = [(k, len(s), *fingerprint(s), signature(s)) for k, s in zip(keys, sets, strict=True)]
+            rows = [(k, len(s), *fingerprint(s), frequent.value.split(s)[0].tobytes()) for k, s in zip(keys, sets, strict=True)]
             c = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["id", "n", "f1", "f2", "bits"])
-
-    def post(batches):
-        writer = postings.Writer(parts, 2, marks=True)
-        seen: set[tuple[int, int]] = set()
-        for keys, sets in batches:
-            for k, s in zip(keys, sets, strict=True):
-                if not len(s) or (f := fingerprint(s)) in seen:
-                    continue
-                seen.add(f)
-                writer.add(mix(short_lists(s, frequent.value, percent).copy()), k, len(s))
-                if writer.full():
-                    yield from writer.flush()
-                    seen.clear()
-        yield from writer.flush()
-
-    measured = stage_table(_sets(docs, key, text, n, sizes, "id long, n long, f1 long, f2 long, bits binary"), "sets")
-    equal = measured.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = stage_table(measured.join(equal.where("copies > 1"), ["f1", "f2", "n"]).select("id", "rep"), "copies")
-
-    def lists(rows: pa.Table) -> pa.Table:
-        """The distinct document lists of a slice, hub first; parts of one hot list share its number."""
-        frame = rows.to_pandas()
-        parts_here = frame["part"].notna().to_numpy()
-        found: dict[bytes, tuple[int | None, np.ndarray]] = {}
-        for key64, d in zip(frame["part"][parts_here], frame["docs"][parts_here], strict=True):
-            ids = np.unique(postings.unpack_docs(d, 2)[:, 0])
-            found.setdefault(ids.tobytes() + int(key64).to_bytes(8, "little"), (int(key64), ids))
-        if not parts_here.all():
-            keys, owner, table = postings.read_slice(frame[~parts_here], 3)
-            slice_no = int(frame["slice"].iloc[0])
-            starts, count = postings.groups(keys)
-            for a, c in zip(starts[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-                rows = table[owner[a : a + c]]
-                ids = np.unique(rows[:, 0])
-                if rows[:, 2].any():
-                    key64 = slice_no << 32 | int(keys[a])
-                    found.setdefault(ids.tobytes() + key64.to_bytes(8, "little"), (key64, ids))
-                elif len(ids) > 1:
-                    found.setdefault(ids.tobytes(), (None, ids))
-        return pa.table({"hot": pa.array([x for x, _ in found.values()], pa.int64()), "ids": pa.array([x for _, x in found.values()], pa.list_(pa.int64()))})
-
-    shared = _sets(docs, key, text, n, post, postings.SCHEMA).groupBy("slice").applyInArrow(lists, "hot long, ids array<long>")
-    shared = stage_table(shared.withColumn("list", F.when(F.col("hot").isNotNull(), F.xxhash64("hot", F.lit(1))).otherwise(F.xxhash64("ids"))), "lists")
-    reps = copies.withColumnRenamed("rep", "r")
-
-    def to_reps(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(reps.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    stars = shared.select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).where("a <> b").distinct()
-    stars = to_reps(stars)
-    near = stage_table(admitted(stars, measured, percent), "stars")
-    links = stage_table(verify(near, docs, key, text, n, percent), "links")
+            block = _block_of(np.array(c[0], np.int64), slices_n)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary()), pa.array(block, pa.int32())], names=["id", "n", "f1", "f2", "frequent", "block"])
+
+    measured = stage_table(_sets(docs, key, text, n, sizes, "id long, n long, f1 long, f2 long, frequent binary, block int"), "sets")
+    equal = measured.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copies = stage_table(measured.join(equal, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "copies")
+    firsts = measured.where("n > 0").join(copies.select("id"), "id", "left_anti")
+    able = stage_table(shared_sets(docs, firsts, frequent, slices_n, text, key, n, percent), "able")
+
+    # Round one: each short list is a star around its smallest document. Equal lists of several shingles count once.
+    members = able.select("id", "n", F.explode("prefix").alias("list"))
+    lists = members.groupBy("list").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("c > 1")
+    lists = lists.groupBy("hub", "c", "x").agg(F.min("list").alias("list"))
+    shared = stage_table(members.join(lists, "list").select("list", "hub", "id", "n"), "lists")
+    fits = F.lit(percent) * F.greatest("n", "hub.n") <= F.lit(100) * F.least("n", "hub.n")
+    near = stage_table(shared.where(fits & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = verify(near, able, percent)
+    links = stage_table(links if same is None else links.unionByName(same), "links")
     groups = stage_table(connected_components(links), "groups")
 
     # Round two: of each list, the pairs of documents that are still in different groups.
-    members = shared.where((F.size("ids") > 2) | F.col("hot").isNotNull()).select("list", F.explode("ids").alias("id")).distinct()
-    members = members.join(reps, "id", "left").withColumn("id", F.coalesce("r", "id")).drop("r").distinct()
-    members = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sums = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s")).where("lo <> hi")
-    once = sums.groupBy("c", "s").agg(F.min("list").alias("list"))  # equal lists of different shingles are compared once
-    open_lists = stage_table(members.join(once.select("list", "c"), "list"), "open")
-    per = open_lists.groupBy("list", "c", "component").agg(F.count("*").alias("k"))
-    main = per.groupBy("list", "c").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k"))
+    placed = shared.select("list", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    per = placed.groupBy("list", "component").agg(F.count("*").alias("k"))
+    main = per.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("c"), F.count("*").alias("kinds")).where("kinds > 1")
     main = main.select("list", "main", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("nj"), F.ceil((F.col("c") - F.col("k")) / LIST_BLOCK).cast("int").alias("ni"))
-    member = open_lists.drop("c").join(main, "list").join(measured.select("id", "n", "bits"), "id")
+    open_ = stage_table(placed.join(main, "list"), "open")
+    member = open_.join(able.select("id", "m", "bits"), "id")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["list", "id", "component", "n", "bits"]
+    columns = ["list", "id", "component", "n", "m", "bits"]
     all_ = member.select(*columns, place("nj").alias("j"), every("ni").alias("i"), F.lit(False).alias("minor"))
     minor = member.where("component <> main").select(*columns, place("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("minor"))
 
@@ -268,77 +372,47 @@ def ngram_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
 
     rest = all_.unionByName(minor).groupBy("list", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     rest = stage_table(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = None if rest.isEmpty() else stage_table(verify(rest, docs, key, text, n, percent), "links")
+    more = None if rest.isEmpty() else stage_table(verify(rest, able, percent), "links")
     if more is not None and not more.isEmpty():
         between = more.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = connected_components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         names = groups.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups, "id", "left_anti").withColumn("component", F.col("id")))
         groups = stage_table(names.join(merged.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "groups")
-    own = measured.select("id", "n").join(reps, "id", "left").withColumn("node", F.coalesce("r", "id"))
+    for done in (able, shared, near, links, open_, rest):
+        drop_table(done)
+    own = measured.select("id", "n").join(copies, "id", "left").withColumn("node", F.coalesce("rep", "id"))
     return own.join(groups.withColumnRenamed("id", "node"), "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
-def admitted(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures do not rule out."""
-    sized = measured.select("id", "n", "bits")
-    joined = pairs.join(sized.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa")), "a")
-    joined = joined.join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [not far_apart(x, nx, y, ny, percent) for x, nx, y, ny in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    return joined.where(F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")).select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long").distinct()
-
-
 def admitted_pairs(frame: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a minor document with any other of another component that sizes and signatures do not rule out."""
+    """Pairs of a minor document with any other of another component that sizes and bitmaps do not rule out."""
     minor = frame["minor"].to_numpy()
     rest = frame[~minor]
-    ids, component, n = (rest[c].to_numpy() for c in ("id", "component", "n"))
+    ids, component, n, m = (rest[c].to_numpy() for c in ("id", "component", "n", "m"))
     width = np.array([len(x) for x in rest["bits"]])
-    tables = {w: (np.flatnonzero(width == w), np.stack([np.frombuffer(x, np.uint8) for x in rest["bits"][width == w]])) for w in np.unique(width).tolist()}
-    out = []
-    for id_, c, size, bits in zip(*(frame[k][minor].to_numpy() for k in ("id", "component", "n", "bits")), strict=True):
-        own = np.frombuffer(bits, np.uint8)
-        for w, (rows, table) in tables.items():
+    tables = {w: (np.flatnonzero(width == w), np.stack([np.frombuffer(x, np.uint64) for x in rest["bits"][width == w]])) for w in np.unique(width).tolist()}
+    out: set[tuple[int, int]] = set()
+    for id_, c, size, shared, bits in zip(*(frame[k][minor].to_numpy() for k in ("id", "component", "n", "m", "bits")), strict=True):
+        own = np.frombuffer(bits, np.uint64)
+        for rows, table in tables.values():
             fit = np.flatnonzero((component[rows] != c) & (percent * np.maximum(n[rows], size) <= 100 * np.minimum(n[rows], size)))
             if not len(fit):
                 continue
             x, y = own, table[fit]
-            while len(x) > y.shape[1]:
+            while len(x) > y.shape[1]:  # bucket i of the smaller is buckets i and i + half of the larger
                 x = x[: len(x) // 2] ^ x[len(x) // 2 :]
             while y.shape[1] > len(x):
                 y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            total = n[rows][fit] + size
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
-            out.extend((min(id_, b), max(id_, b)) for b in ids[rows][fit][near].tolist())
-    return out
-
+            need = -(-percent * (n[rows][fit] + size) // (100 + percent))
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m[rows][fit] + shared - 2 * need
+            out.update((min(id_, b), max(id_, b)) for b in ids[rows][fit][near].tolist())
+    return sorted(out)
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Each a is a query against blocks of its candidates b."""
 
+def verify(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Each a is a query against the inverted lists of blocks of its candidates b."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    marked = ids.select(spot.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v")).toPandas()
-    bitmap = np.zeros(BITMAP // 64, np.uint64)  # of BITMAP bits whatever the corpus; where it is full, more sets are made than needed
-    bitmap[marked["w"].to_numpy(np.int64)] = marked["v"].to_numpy(np.int64).astype(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(2).to_numpy().astype(np.uint64)
-            some = (sent.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
-            b = b.filter(pa.array(some))
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = [s.tobytes() for s in shingle_sets(encoded(part.column(1)), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", spot)
-    sets = stage_table(plain.mapInArrow(wanted, "id long, s binary").join(ids, "id", "left_semi"), "verify")
+    sets = able.select("id", "n", "s").join(ids, "id", "left_semi")
     counted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "a")
     blocked = counted.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     candidates = blocked.select("a", "block", F.col("b").alias("id")).join(sets, "id")
@@ -348,9 +422,10 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, perce
         asks = frame["query"].to_numpy()
         if asks.all() or not asks.any():
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        found = divide_skip(np.frombuffer(frame["s"][asks].iloc[0], np.uint64), [np.frombuffer(x, np.uint64) for x in frame["s"][~asks]], percent)
-        b = frame["id"][~asks].to_numpy()[found]
+        sets_ = [np.frombuffer(x, np.uint64) for x in frame["s"][~asks]]
+        found = divide_skip(np.frombuffer(frame["s"][asks].iloc[0], np.uint64), frame["n"][~asks].tolist(), sets_, int(frame["n"][asks].iloc[0]), percent)
+        b = frame["id"][~asks].to_numpy()[np.array(found)]
         return pd.DataFrame({"a": np.full(len(b), keys[0], np.int64), "b": b})
 
-    both = candidates.withColumn("query", F.lit(False)).unionByName(queries.select("a", "block", F.col("a").alias("id"), "s", F.lit(True).alias("query")))
+    both = candidates.withColumn("query", F.lit(False)).unionByName(queries.select("a", "block", F.col("a").alias("id"), "n", "s", F.lit(True).alias("query")))
     return both.groupBy("a", "block").applyInPandas(search, "a long, b long")

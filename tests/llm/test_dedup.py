@@ -80,17 +80,27 @@ def groups_by_hand(docs):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("part", "block"), [(16, 256), (3, 4)])
-def test_groups_equal_brute_force(spark, monkeypatch, part, block):
-    monkeypatch.setattr(postings, "PART", part)
+@pytest.mark.parametrize(("seed", "block", "frequent"), [(16, 256, 1 << 17), (3, 4, 0), (5, 16, 40)])
+def test_groups_equal_brute_force(spark, monkeypatch, seed, block, frequent):
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
-    docs = near_copies(part, 400)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "FLUSH", 2000)
+    docs = near_copies(seed, 400)
     got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.ngram_groups(spark.createDataFrame([(*d, 1) for d in docs], SCHEMA + ", component int")).collect()}
     assert got == groups_by_hand(docs)
 
 
 def test_groups_of_empty_table(spark):
     assert ngram_join.ngram_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert ngram_join.ngram_groups(spark.createDataFrame([(1, None), (2, "")], SCHEMA)).count() == 2
+
+
+def test_groups_of_repeated_and_null_keys(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, one), (7, one), (9, one + " z"), (9, two), (4, two + " z"), (None, two), (None, "c c c"), (3, None), (3, None), (2, "a0 " * 9000)]
+    found = sorted((r["id"] or -1, r["n_shingles"], r["component"] or -1) for r in ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == sorted([(7, 36, 4), (7, 36, 4), (9, 37, 4), (9, 36, 4), (4, 37, 4), (-1, 36, 4), (-1, 1, -1), (3, 0, 3), (3, 0, 3), (2, 1, 2)])
 
 
 def test_divide_skip_and_bounds():
@@ -99,7 +109,7 @@ def test_divide_skip_and_bounds():
         query = np.unique(rng.integers(0, 400, int(rng.integers(1, 200))).astype(np.uint64))
         others = [np.unique(np.concatenate([rng.choice(query, int(len(query) * f)), rng.integers(0, 400, 5).astype(np.uint64)])) for f in rng.uniform(0.3, 3, 6)]
         want = [100 * len(np.intersect1d(query, o)) >= 75 * len(np.union1d(query, o)) for o in others]
-        assert ngram_join.divide_skip(query, others, 75).tolist() == want
+        assert ngram_join.divide_skip(query, [len(o) for o in others], others, len(query), 75) == want
         for o, linked in zip(others, want, strict=True):
             if linked:
                 assert not ngram_join.far_apart(ngram_join.signature(query), len(query), ngram_join.signature(o), len(o), 75)
