@@ -4,7 +4,9 @@ A document is a bag of sentences. Each sentence gets a probability from the weig
 document the noisy-or of its sentences: 1 - prod(1 - p). Weights are trained in numpy from document labels
 alone, on a bounded sample of labelled rows (``most`` in the mean); every text is scored whole, and the
 sentences that carry the score are located by character span. Null and empty texts are one empty sentence,
-whose probability is the bias alone.
+whose probability is the bias alone. Rows are scored one by one, so repeated rows come back as often, and
+sentences of equal probability in page order. Columns outside ``keep`` are not read; one named like a result
+(score, n_sentences, offending) can't be kept. Empty tables, or labels of one kind, give a model without words.
 """
 
 from __future__ import annotations
@@ -47,37 +49,25 @@ class NoisyOr:
         self.weights, self.bias, self.words = weights, bias, frozenset(weights)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], vocabulary: int = 4000, steps: int = 300, rate: float = 0.2, decay: float = 2e-4) -> NoisyOr:
-        """AdaGrad on the log loss of the noisy-or; words are those found in more documents of label 1 than chance explains, one false word expected."""
-        base = sum(y for _, y in rows) / max(1, len(rows))
+    def fit(cls, chosen: list[str], docs: list[tuple[int, int, list[int], list[int]]], steps: int = 300, rate: float = 0.2, decay: float = 2e-4) -> NoisyOr:
+        """AdaGrad on the log loss of the noisy-or. A document is its label, its number of sentences, and sentence and word (numbers) of each occurrence."""
+        base = sum(y for y, *_ in docs) / max(1, len(docs))
         if not 0 < base < 1:
             return cls({}, float(np.log(max(base, 1e-4) / max(1 - base, 1e-4))))
-        bags = [([frozenset(WORD.findall(t[a:b].lower())) for a, b in sentences(t)], y) for t, y in rows]
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for bag, y in bags:
-            seen[y].update(frozenset().union(*bag))
-        n1 = sum(y for _, y in bags)
-        n0 = len(bags) - n1
-        rare = {w: enrichment(seen[1][w], seen[0][w], n1, n0) for w in seen[1] if seen[1][w] >= 3}
-        chosen = sorted((w for w, p in rare.items() if p <= -np.log(len(rare) + 1)), key=lambda w: (rare[w], w))[:vocabulary]
-        index = {w: i for i, w in enumerate(chosen)}
-        flat, sent_of, doc_of = [], [], []
-        for d, (bag, _) in enumerate(bags):
-            for s in bag:
-                ids = sorted(index[w] for w in s if w in index)
-                flat.extend(ids)
-                sent_of.extend([len(doc_of)] * len(ids))
-                doc_of.append(d)
-        flat_a, sent_a, doc_a = np.array(flat, np.int64), np.array(sent_of, np.int64), np.array(doc_of, np.int64)
-        y = np.array([v for _, v in bags], float)
-        w, bias = np.zeros(len(chosen)), float(np.log(base / len(doc_a) * len(bags)))
+        sizes = np.array([n for _, n, _, _ in docs], np.int64)
+        first = np.cumsum(sizes) - sizes
+        doc_a = np.repeat(np.arange(len(docs)), sizes)
+        flat_a = np.concatenate([np.array(w, np.int64) for *_, w in docs])
+        sent_a = np.concatenate([np.array(s, np.int64) + f for (_, _, s, _), f in zip(docs, first.tolist(), strict=True)])
+        y = np.array([v for v, *_ in docs], float)
+        w, bias = np.zeros(len(chosen)), float(np.log(base / len(doc_a) * len(docs)))
         sums, bias_sum = np.full(len(chosen), 1e-6), 1e-6
         for _ in range(steps):
             z = bias + np.bincount(sent_a, w[flat_a], len(doc_a))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            none = np.exp(np.bincount(doc_a, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
+            none = np.exp(np.bincount(doc_a, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)))
             any_ = np.maximum(1 - none, 1e-6)
-            slope = np.where(y == 1, -none / any_, 1.0)[doc_a] * p / len(bags)
+            slope = np.where(y == 1, -none / any_, 1.0)[doc_a] * p / len(docs)
             g = np.bincount(flat_a, slope[sent_a], len(chosen)) + decay * w
             g0 = slope.sum()
             sums += g * g
@@ -98,13 +88,59 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True)]
 
 
+def _bag(text: str) -> list[frozenset[str]]:
+    return [frozenset(WORD.findall(text[a:b].lower())) for a, b in sentences(text)]
+
+
+def choose_words(rows: DataFrame) -> list[str]:
+    """Words of the sampled ``rows`` (__t, __y) found in more documents of label 1 than chance explains, one false word expected; strongest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "c"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                words, y = frozenset().union(*_bag(b.column(0)[i].as_py())), b.column(1)[i].as_py()
+                counts.update((w, y) for w in words)
+                counts["", y] += 1  # no word: counts documents
+                if len(counts) > 100_000:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    counted = rows.select("__t", "__y").mapInArrow(run, "word string, y int, c long")
+    counted = counted.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("b"))
+    counted = counted.where("a >= 3 or word = ''").collect()
+    n1, n0 = next(((r["a"], r["b"]) for r in counted if not r["word"]), (0, 0))
+    if not n1 or not n0:
+        return []
+    rare = {r["word"]: enrichment(r["a"], r["b"], n1, n0) for r in counted if r["word"]}
+    return sorted((w for w, p in rare.items() if p <= -np.log(len(rare) + 1)), key=lambda w: (rare[w], w))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = 8000) -> NoisyOr:
-    """Fit on labelled rows; of several labels of a document the highest counts."""
+    """Fit on labelled rows; of several labels of a document the highest counts. Texts stay on the executors: only occurrences of the chosen words come to the driver."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     n = marks.count()
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(1 << 20)) < F.lit(int(min(1.0, most / max(1, n)) * (1 << 20)) + 1)
-    rows = docs.where(draw).select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(marks.where(draw), key).select("__t", "__y").collect()
-    return NoisyOr.fit(sorted((r[0], r[1]) for r in rows))
+    rows = docs.where(draw).select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")).join(marks.where(draw), key)
+    chosen = choose_words(rows)
+    index = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(chosen)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                found = [sorted(index.value[w] for w in s if w in index.value) for s in _bag(b.column(0)[i].as_py())]
+                out.append((b.column(1)[i].as_py(), len(found), [k for k, s in enumerate(found) for _ in s], [w for s in found for w in s]))
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in c[2:])], names=["y", "n", "s", "w"])
+
+    found = rows.select("__t", "__y").mapInArrow(run, "y int, n int, s array<int>, w array<int>").collect()
+    return NoisyOr.fit(chosen, sorted((r["y"], r["n"], r["s"], r["w"]) for r in found))
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, text: str = "text", keep: tuple[str, ...] = ("doc_id",), located: float = 0.1) -> DataFrame:
