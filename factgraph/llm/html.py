@@ -4,12 +4,16 @@ A tolerant tokenizer builds the tree of block elements. Every paragraph earns po
 commas, discounted by the share of its characters inside links, and passes them to its ancestors with
 falling weight. The container with most points is the article, or the article or main element around it;
 siblings that score high enough, or that hold few links, are kept with it. Elements that are never article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments), by tag or by class and id, are left out
-wherever they stand. Null, empty and textless html gives an empty text.
+sidebars, notices, adverts, forms, scripts, styles, comments), by tag or by a whole class or id, are left out
+wherever they stand; but where a class or id would leave out most of a page's text, its node is scored like
+the others (save comments and consent notices). Null, empty and textless html gives an empty text; pages are
+read one by one and whole, so repeated rows come back as often and length is no limit. Of equal containers
+the first wins. A column named like the result is replaced, other columns stay.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -32,6 +36,11 @@ DROPPED_WORDS = set(
     newsletter notice notices pager pagination popup popover promo promoted promotion recommend recommended related
     replies respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets""".split()
 )
+#: Of these words, those whose nodes are never brought back.
+FIRM_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "consent", "cookie", "cookies", "gdpr"}
+#: Last words of names such as ad-slot, and first words of names that tell a state, such as has-sidebar.
+PART_WORDS = set("area bar block bottom box button buttons container content entry form group holder icon icons inner item items left link links list main meta overlay panel region right row section slot text title top unit wrap wrapper zone".split())
+STATE_WORDS = {"has", "with", "without", "no", "not", "is", "show", "hide", "js"}
 KEPT_TAGS = {"html", "body", "article", "main"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"}
@@ -39,34 +48,54 @@ PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "dt", "h1", "h2", "h3"
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 
 
-def unwanted(tag: str, attributes: str) -> bool:
+@functools.lru_cache(maxsize=1 << 14)
+def named_unwanted(name: str) -> int:
+    """Whether one class or id marks what is not article text: 0 no, 1 yes, 2 yes and firmly."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in STATE_WORDS:
+        return 0
+    found = [w for w, counts in ((words[-1], True), (words[0], words[-1] in PART_WORDS)) if counts and w in DROPPED_WORDS]
+    return 0 if not found else 2 if FIRM_WORDS.intersection(words) else 1
+
+
+def unwanted(tag: str, attributes: str) -> int:
+    """0 for wanted nodes, 1 for those unwanted by name alone, 2 for those unwanted for certain."""
     if tag in DROPPED_TAGS:
-        return True
+        return 2
     if not attributes or tag in KEPT_TAGS:
-        return False
+        return 0
+    out = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and any(w.lower() in DROPPED_WORDS for w in WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            out = max([out, *map(named_unwanted, value.split())])
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return 2
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+            return 2
+    return out
+
+
+@functools.lru_cache(maxsize=64)
+def end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I | re.A)
 
 
 class Page:
-    """Nodes (tag, parent, dropped) and blocks (node, text, characters in links), in page order."""
+    """Nodes (tag, parent, dropped) and blocks (node, text, characters in links), in page order.
+
+    ``dropped`` is 0 for wanted nodes, -1 for those that are out for certain, else the node whose name leaves them out.
+    """
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped = ["#root"], [-1], [False]
+        self.tags, self.parents, self.dropped = ["#root"], [-1], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.pieces: list[str] = []
-        self.linked, self.in_link, self.stack = 0, False, [0]
+        self.linked, self.link_depth, self.stack = 0, 0, [0]
         at = 0
-        lower = None
         while True:
             m = TOKEN.search(source, at)
             end = m.start() if m else len(source)
@@ -84,16 +113,15 @@ class Page:
                 attributes = m[3] or m[6] or ""
                 self.open(tag, attributes)
                 if tag in RAW and not attributes.endswith("/"):
-                    lower = lower or source.lower()
-                    stop = lower.find(f"</{tag}", at) if len(lower) == len(source) else -1
-                    at = len(source) if stop < 0 else stop
+                    stop = end_of(tag).search(source, at)
+                    at = stop.start() if stop else len(source)
         self.flush()
 
     def text(self, piece: str) -> None:
         if "&" in piece:
             piece = entities.unescape(piece)
         self.pieces.append(piece)
-        if self.in_link:
+        if self.link_depth:
             self.linked += len(piece.strip())
 
     def flush(self) -> None:
@@ -106,7 +134,8 @@ class Page:
     def pop_to(self, depth: int) -> None:
         self.flush()
         del self.stack[depth:]
-        self.in_link = False
+        if len(self.stack) < self.link_depth:  # the block in which the link began is over
+            self.link_depth = 0
 
     def open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -115,7 +144,7 @@ class Page:
         if tag in VOID and tag != "hr":
             return
         if tag == "a":
-            self.in_link = True
+            self.link_depth = len(self.stack) if HREF.search(attributes) else 0
             return
         if tag in RAW:
             self.pieces.append("")
@@ -123,7 +152,6 @@ class Page:
             return
         if tag not in INLINE and tag not in RAW:
             self.flush()
-            self.in_link = False
             for depth in range(len(self.stack) - 1, 0, -1):
                 name = self.tags[self.stack[depth]]
                 if name == "p" or name in CLOSES.get(tag, ()):
@@ -136,12 +164,13 @@ class Page:
         self.flush()
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
-        self.dropped.append(self.dropped[self.stack[-1]] or tag in RAW or unwanted(tag, attributes))
+        above, here = self.dropped[self.stack[-1]], 2 if tag in RAW else unwanted(tag, attributes)
+        self.dropped.append(-1 if above < 0 or here == 2 else len(self.tags) - 1 if here else above)
         self.stack.append(len(self.tags) - 1)
 
     def close(self, tag: str) -> None:
         if tag == "a":
-            self.in_link = False
+            self.link_depth = 0
             return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.tags[self.stack[depth]] == tag:
@@ -154,6 +183,17 @@ class Page:
 def main_text(source: str) -> str:
     """Blocks of the best container and its kept siblings, joined by an empty line."""
     page = Page(source)
+    named: dict[int, list[int]] = {}
+    for node, text, linked in page.blocks:
+        if page.dropped[node] >= 0:
+            tally = named.setdefault(page.dropped[node], [0, 0])
+            tally[0], tally[1] = tally[0] + len(text), tally[1] + linked
+    wanted, back = named.pop(0, [0, 0])[0], 0
+    if named:
+        node = max(named, key=lambda k: (named[k][0], -k))
+        if named[node][0] > 4 * wanted and 2 * named[node][1] < named[node][0]:
+            back = node
+    page.dropped = [0 if d == back else d for d in page.dropped]
     shown = [b for b in page.blocks if not page.dropped[b[0]]]
     if not shown:
         return ""

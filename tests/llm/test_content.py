@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -70,6 +71,59 @@ def test_main_text():
     assert html.main_text("<p>short") == "short" and html.main_text("<script>x</script>") == "" and html.main_text("a < b") == "a < b"
 
 
+LONG = "A paragraph, of some length, with commas, that is worth keeping as a whole."
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"<html><head><title>İstanbul</title></head><body><p>{LONG}</p><p>{LONG} İ</p></body></html>", f"{LONG}\n\n{LONG} İ"),
+        (f"<body><STYLE>p{{}}</style>İ<p>{LONG}<Script>x</SCRIPT></p></body>", f"İ\n\n{LONG}"),
+        (f"<div class='layout has-sidebar'><p>{LONG}</p><div class='sidebar'><p>Other.</p></div></div>", LONG),
+        (f"<div class='post tags-open'><p>{LONG}</p></div>", LONG),
+        (f"<nav>menu</nav><div class='widget'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+        (f"<div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", ""),
+        (f"<article><section>{f'<p>{LONG}</p>' * 20}</section><section><p>One short paragraph that stays with the rest of it.</p><h2>End</h2></section></article>", "\n\n".join([LONG] * 20 + ["One short paragraph that stays with the rest of it.", "End"])),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><a href='/x'><p>{LONG}</p></a><a href='/y'><p>{LONG}</p></a></div>", f"{LONG}\n\n{LONG}"),
+        (f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+        (f"<p>{LONG * 400}</p>", LONG * 400),
+    ],
+)
+def test_main_text_of_odd_pages(source, want):
+    assert html.main_text(source) == want
+
+
+def marked_page(rng):
+    """A page of random parts, each with words of its own, and the parts that belong to its article."""
+    n, kept = [0], []
+
+    def words(count, keep=False):
+        n[0] += 1
+        text = ", ".join(f"w{n[0]}x{i}" for i in range(count))
+        if keep:
+            kept.append(text)
+        return text
+
+    links = lambda k: "<ul>" + "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(k)) + "</ul>"
+    outside = [lambda: f"<nav>{links(5)}</nav>", lambda: f"<footer>{words(6)}</footer>", lambda: f"<div class='sidebar'><p>{words(9)}</p></div>", lambda: f"<div id=cookie-banner>{words(7)}</div>", lambda: f"<form><p>{words(5)}</p></form>", lambda: f"<section class='comments'><p>{words(12)}</p></section>", lambda: f"<script>{words(3)}</script>", lambda: f"<aside>{words(8)}</aside>"]
+    inside = [lambda: f"<p>{words(20, True)}</p>", lambda: f"<p>{words(30, True)}", lambda: f"<h2>{words(3, True)}</h2>", lambda: f"<ul><li>{words(4, True)}</li><li>{words(4, True)}</li></ul>", lambda: f"<blockquote>{words(10, True)}</blockquote>", lambda: f"<div class=ad-slot>{words(5)}</div>", lambda: f"<p>{words(15, True)}</p>", lambda: f"<section><p>{words(9, True)}</p></section>"]
+    before = [rng.choice(outside)() for _ in range(rng.randint(0, 4))]
+    tag = rng.choice(["article", "main", "div class=story"])
+    body = [f"<p>{words(40, True)}</p>", *(rng.choice(inside)() for _ in range(rng.randint(1, 12)))]
+    after = [rng.choice(outside)() for _ in range(rng.randint(0, 4))]
+    return f"<html><body>{''.join(before)}<{tag}>{''.join(body)}</{tag.split()[0]}>{''.join(after)}</body></html>", "\n\n".join(kept)
+
+
+def test_page_query_equals_marked_pages(spark, tmp_path):
+    rng = random.Random(9)
+    pages = [marked_page(rng) for _ in range(200)]
+    rows = [(i, "u", source) for i, (source, _) in enumerate(pages)] + [(0, "u", pages[0][0]), (500, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in entries.op5_html_main_text(spark, str(tmp_path)).collect())
+    want = sorted([*((i, text, len(text)) for i, (_, text) in enumerate(pages)), (0, pages[0][1], len(pages[0][1])), (500, "", 0)])
+    assert got == want
+
+
 def test_extraction_on_tables(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (3, "u", "", "x"), (4, "u", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in html.extract_main_text(df).collect()}
