@@ -50,7 +50,7 @@ N, PERCENT = 5, 75
 #: The sample that finds frequent shingles, how many are remembered, and from how many sampled documents.
 SAMPLE, FREQUENT, AT_LEAST = 1 / 16, 1 << 17, 3
 #: Bytes of text whose postings make a slice, the least number of slices, and postings that a task holds before it sends them.
-SLICE_TEXT, LEAST, FLUSH, FLUSH_DOCS = 16 << 20, 8, 1_500_000, 30_000
+SLICE_TEXT, LEAST, FLUSH, FLUSH_DOCS = 8 << 20, 8, 400_000, 30_000
 #: Documents of a list that are compared at once in round two; candidates of one search.
 LIST_BLOCK, BLOCK = 256, 128
 #: Bitmap bits for each shingle (rounded up to a power of two), and at most.
@@ -166,7 +166,8 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, body, schema: str) -> Da
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from body((b.column(0).to_pylist(), shingle_sets(encoded(b.column(1)), n)) for b in batches)
+        parts = (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512))
+        yield from body((b.column(0).to_pylist(), shingle_sets(encoded(b.column(1)), n)) for b in parts)
 
     return plain.mapInArrow(run, schema)
 
