@@ -124,13 +124,17 @@ def confidence_rank(c: Column) -> Column:
     return F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
 
 
-def source_slice(text: Column, start: Column, end: Column, window: int = 8) -> Column:
-    """Lines start-window to end+window; lines out of range are clamped."""
+def source_context(text: Column, start: Column, end: Column, window: int = 8) -> Column:
+    """(source, context): lines start to end, and with ``window`` lines around them (8 if not positive).
+
+    A start outside the text counts as line 1, an end outside it or before the start as the start.
+    """
     lines = F.split(text, "\n")
-    window = window if window > 0 else 8
-    first = F.greatest(F.lit(1), start - window)
-    last = F.least(F.size(lines), end + window)
-    return F.array_join(F.slice(lines, first.cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")), "\n")
+    n, window = F.size(lines), window if window > 0 else 8
+    first = F.when((start <= 0) | (start > n), F.lit(1)).otherwise(start).cast("int")
+    last = F.when((end <= 0) | (end > n) | (end < first), first).otherwise(end).cast("int")
+    cut = lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), "\n")
+    return F.struct(cut(first, last).alias("source"), cut(F.greatest(F.lit(1), first - window), F.least(n, last + window)).alias("context"))
 
 
 def language_of(path: Column) -> Column:
@@ -159,6 +163,13 @@ def file_bucket(path: Column) -> Column:
     return F.when(ext == "go", "go").when(ext == "py", "python").when(ext.isin("js", "jsx", "mjs", "cjs"), "javascript").when(ext.isin("ts", "tsx"), "typescript").when(ext.isin("yaml", "yml", "json", "toml", "proto"), "config")
 
 
+def boundary_hint(path: Column) -> Column:
+    """The boundary type that a path hints at: grpc, http or kafka, the first that fits."""
+    low = F.lower(path)
+    return F.when(F.endswith(low, F.lit(".proto")), "grpc").when(F.contains(low, F.lit("openapi")) | F.contains(low, F.lit("swagger")), "http").when(F.contains(low, F.lit("kafka")), "kafka")
+
+
 def repo_role(services: Column, languages: Column, build_files: Column) -> Column:
+    """service, shared_lib, infra or unknown, the first that fits; infra is a build file of terraform or docker without sources."""
     source = F.size(F.array_intersect(languages, F.array(*[F.lit(x) for x in ("go", "python", "javascript", "typescript", "java")])))
-    return F.when(services > 0, "service").when((source == 1) & F.array_contains(languages, "go"), "shared_lib").when((source > 0) & (F.size(build_files) > 0), "service").otherwise("unknown")
+    return F.when(services > 0, "service").when((source == 1) & F.array_contains(languages, "go"), "shared_lib").when((source > 0) & (F.size(build_files) > 0), "service").when(F.exists(build_files, lambda f: F.regexp_like(F.lower(f), F.lit("terraform|docker"))), "infra").otherwise("unknown")

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators.staging import staged
+
 
 def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) at least distance, to ``depth`` at most; every level is one join over a deduplicated frontier.
+    """(node, depth) at least distance, to ``depth`` at most.
 
-    ``edges`` has src and dst, ``roots`` has node. A node met again at a later level is settled by the final
-    minimum rather than by an anti-join at each level, which would double the plan with every level.
+    ``edges`` has src and dst, ``roots`` has node. Each level is one join over the nodes met first at the level
+    before; it is staged, so that no level is computed twice, and nodes met before are taken out of it.
     """
-    frontier = roots.select("node").distinct()
-    levels = frontier.withColumn("depth", F.lit(0))
+    frontier = staged(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "level")
+    visited = frontier
     for d in range(1, depth + 1):
-        frontier = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        levels = levels.unionByName(frontier.withColumn("depth", F.lit(d)))
-    return levels.groupBy("node").agg(F.min("depth").alias("depth"))
+        met = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+        frontier = staged(met.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "level")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited
 
 
 def classify(relationship: Column, target: Column) -> Column:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import scalars as S
 from factgraph.operators import dedup, graph, ordering, resolve
+from factgraph.plans import review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,7 +127,7 @@ def unique_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAGES = """
-WITH refs AS (SELECT p_partkey AS ref, p_brand AS brand, p_name AS name, split_part(p_name, ' ', 2) AS tail FROM part WHERE p_size <= 25),
+WITH refs AS (SELECT p_partkey AS ref, p_brand AS brand, p_name AS name, split_part(p_name, ' ', 2) AS tail FROM part),
      hits AS (SELECT r.ref, c.p_partkey AS target, c.p_name = r.name AS a, ends_with(c.p_name, r.tail) AS b FROM refs r LEFT JOIN part c ON c.p_brand = r.brand),
      counts AS (SELECT ref, count(DISTINCT target) FILTER (WHERE a) AS n_first, min(target) FILTER (WHERE a) AS t_first,
                 count(DISTINCT target) FILTER (WHERE a OR b) AS n_all, min(target) FILTER (WHERE a OR b) AS t_all FROM hits GROUP BY ref)
@@ -135,9 +136,9 @@ WITH refs AS (SELECT p_partkey AS ref, p_brand AS brand, p_name AS name, split_p
 
 def _two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    refs = part.where("p_size <= 25").select(F.col("p_partkey").alias("ref"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("tail"))
-    owned = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("candidate"), F.col("p_name").alias("owned"))
-    return resolve.two_stage(refs, owned, "ref", ["brand"], F.col("owned") == F.col("name"), F.endswith("owned", "tail"), "candidate")
+    refs = part.select(F.col("p_partkey").alias("ref"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("tail"))
+    owned = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("candidate"), F.col("p_name").alias("owned"), resolve.suffixes(F.col("p_name")).alias("ends"))
+    return resolve.two_stage(refs, owned, "ref", ["brand"], "name", "tail", "owned", "ends", "candidate")
 
 
 @query(_STAGES + "SELECT ref, n_first, n_all, CASE WHEN n_first = 1 THEN t_first WHEN n_first = 0 AND n_all = 1 THEN t_all END AS resolved FROM counts")
@@ -158,13 +159,13 @@ def export_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT o_orderkey, o_orderstatus, 'old' AS snapshot FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey, 'U' AS o_orderstatus, 'new' AS snapshot FROM orders WHERE o_orderkey % 2 = 0)
-SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new
+WITH new AS (SELECT o_orderkey, 'U' AS o_orderstatus, 'new' AS snapshot FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey, o_orderstatus, 'old' AS snapshot FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new
 """)
 def pk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", F.lit("old").alias("snapshot"))
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"), F.lit("new").alias("snapshot"))
+    old = o.select("o_orderkey", "o_orderstatus", F.lit("old").alias("snapshot"))
+    new = o.where("o_orderstatus = 'O'").select("o_orderkey", F.lit("U").alias("o_orderstatus"), F.lit("new").alias("snapshot"))
     return dedup.upsert(old, new, ["o_orderkey"])
 
 
@@ -198,13 +199,13 @@ def call_order_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, event_id AS scope, event_id AS lo, event_id + 50 * (1 + event_id % 20) AS hi FROM events WHERE event_id % 5 = 0)
+WITH s AS (SELECT user_id, event_id AS scope, event_id AS lo, event_id + 50 * (1 + event_id % 20) AS hi FROM events)
 SELECT event_id, scope FROM (SELECT e.event_id, s.scope, row_number() OVER (PARTITION BY e.event_id ORDER BY s.hi - s.lo, s.scope) AS rn FROM events e JOIN s ON s.user_id = e.user_id AND s.lo <= e.event_id AND e.event_id <= s.hi) WHERE rn = 1
 """)
 def tightest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("user_id", "event_id")
     id_ = F.col("event_id")
-    scopes = e.where("event_id % 5 = 0").select("user_id", id_.alias("scope"), id_.alias("lo"), (id_ + 50 * (1 + id_ % 20)).alias("hi"))
+    scopes = e.select("user_id", id_.alias("scope"), id_.alias("lo"), (id_ + 50 * (1 + id_ % 20)).alias("hi"))
     return ordering.tightest(e, scopes, ["user_id"], "event_id", "lo", "hi", "event_id", "scope")
 
 
@@ -267,23 +268,53 @@ def bfs_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STEPS = """steps AS (SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'test' ELSE 'calls' END AS relationship, CASE WHEN l_linestatus = 'F' THEN l_partkey::VARCHAR ELSE '' END AS target
-   FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 1),
+   FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
  judged AS (SELECT *, CASE WHEN lower(relationship) = 'test' THEN 'rejected' WHEN target <> '' THEN 'accepted' ELSE 'ambiguous' END AS status FROM steps)"""
 
 
 def judged_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", "test").otherwise("calls").alias("relationship"), F.when(F.col("l_linestatus") == "F", F.col("l_partkey").cast("string")).otherwise("").alias("target"))
-    orders = read(spark, sf_dir, "orders").where("o_custkey % 10 = 1").select("o_custkey", "o_orderkey")
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("status", graph.classify(F.col("relationship"), F.col("target")))
 
 
-@query(f"WITH {_STEPS} SELECT step, o_custkey, l_orderkey, l_linenumber::BIGINT AS line, status FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, l_orderkey, l_linenumber, l_partkey) AS step FROM judged) WHERE step <= 80")
-def reviewed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = ["o_custkey", "l_orderkey", "l_linenumber", "l_partkey"]
-    first = judged_steps(spark, sf_dir).orderBy(*order).limit(80)
-    from pyspark.sql import Window
+_LEVEL = "SELECT {d} AS depth, e.src, e.dst, e.status, row_number() OVER (ORDER BY s.pos, e.k, e.id) AS pos FROM {e} e JOIN {s} s ON s.dst = e.src AND s.status = 'accepted'"
+
 
-    return first.withColumn("step", F.row_number().over(Window.orderBy(*order)).cast("long")).select("step", "o_custkey", "l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "status")
+@query(f"""
+WITH n AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'accepted' AS status, n_nationkey AS k, 'n' || n_nationkey AS id FROM nation),
+ c AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst, CASE WHEN c_acctbal < 0 THEN 'rejected' ELSE 'accepted' END AS status, c_custkey AS k, 'c' || c_custkey AS id FROM customer),
+ o AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, CASE WHEN o_orderstatus = 'P' THEN 'ambiguous' ELSE 'accepted' END AS status, o_orderkey AS k, 'o' || o_orderkey AS id FROM orders),
+ l AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'accepted' AS status, l_linenumber AS k, 'l' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS id FROM lineitem),
+ s0 AS (SELECT 0 AS depth, src, dst, status, row_number() OVER (ORDER BY k, id) AS pos FROM n WHERE src = 'r0'),
+ s1 AS ({_LEVEL.format(d=1, e="c", s="s0")}), s2 AS ({_LEVEL.format(d=2, e="o", s="s1")}), s3 AS ({_LEVEL.format(d=3, e="l", s="s2")}),
+ steps AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+SELECT step, depth, src AS from_symbol_id, CASE WHEN status = 'ambiguous' THEN '' ELSE dst END AS to_symbol_id, status FROM (SELECT *, row_number() OVER (ORDER BY depth, pos) AS step FROM steps) WHERE step <= 80
+""")
+def reviewed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded review of the graph below region 0: depth 3, 80 steps at most, as the traversal has them."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nothing = F.lit(None).cast("string")
+
+    def edges(table: str, src: Column, dst: Column, order: str, id_: Column, relationship: Column | None = None, target: Column | None = None) -> DataFrame:
+        return read(spark, sf_dir, table).select(
+            id_.alias("id"), src.alias("source_symbol_id"), (dst if target is None else target).alias("target_symbol_id"), dst.alias("target_canonical_name"),
+            (F.lit("calls") if relationship is None else relationship).alias("relationship"), nothing.alias("evidence_source"), F.col(order).cast("long").alias("order_index"),
+        )
+
+    order = name("o", "o_orderkey")
+    calls = edges("nation", name("r", "n_regionkey"), name("n", "n_nationkey"), "n_nationkey", name("n", "n_nationkey"))
+    calls = calls.unionByName(edges("customer", name("n", "c_nationkey"), name("c", "c_custkey"), "c_custkey", name("c", "c_custkey"), F.when(F.col("c_acctbal") < 0, "Test").otherwise("calls")))
+    calls = calls.unionByName(edges("orders", name("c", "o_custkey"), order, "o_orderkey", order, target=F.when(F.col("o_orderstatus") == "P", "").otherwise(order)))
+    line = F.concat(F.lit("l"), F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]))
+    calls = calls.unionByName(edges("lineitem", name("o", "l_orderkey"), name("p", "l_partkey"), "l_linenumber", line))
+    nodes = [("region", "r", "r_regionkey"), ("nation", "n", "n_nationkey"), ("customer", "c", "c_custkey"), ("orders", "o", "o_orderkey"), ("part", "p", "p_partkey")]
+    symbols = [read(spark, sf_dir, t).select(name(p, k).alias("id"), name(p, k).alias("canonical_name")) for t, p, k in nodes]
+    known = symbols[0]
+    for more in symbols[1:]:
+        known = known.unionByName(more)
+    steps = review.traverse(calls, known, symbols[0].where("id = 'r0'"))
+    return steps.select(F.col("step").cast("long").alias("step"), F.col("depth").cast("int").alias("depth"), "from_symbol_id", "to_symbol_id", "status")
 
 
 @query(f"WITH {_STEPS} SELECT status, count(*) AS steps FROM judged GROUP BY status")
@@ -344,13 +375,16 @@ def unvisited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, 3 + doc_id % 3 AS s, 4 + doc_id % 5 AS e FROM documents)
-SELECT doc_id, array_to_string(list_slice(lines, greatest(1, s - 2), least(len(lines), e + 2)), chr(10)) AS slice FROM l
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, doc_id % 9 - 1 AS s0, doc_id % 7 AS e0 FROM documents),
+     f AS (SELECT *, CASE WHEN s0 <= 0 OR s0 > len(lines) THEN 1 ELSE s0 END AS s FROM l),
+     g AS (SELECT *, CASE WHEN e0 <= 0 OR e0 > len(lines) OR e0 < s THEN s ELSE e0 END AS e FROM f)
+SELECT doc_id, array_to_string(list_slice(lines, s, e), chr(10)) AS source, array_to_string(list_slice(lines, greatest(1, s - 2), least(len(lines), e + 2)), chr(10)) AS context FROM g
 """)
 def source_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    id_ = F.col("doc_id")
-    return d.select("doc_id", S.source_slice(F.col("text"), 3 + id_ % 3, 4 + id_ % 5, 2).alias("slice"))
+    id_, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    both = S.source_context(text, id_ % 9 - 1, id_ % 7, 2)
+    return d.select("doc_id", both["source"].alias("source"), both["context"].alias("context"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
@@ -359,18 +393,44 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'bad id!' ELSE 't-' || o_orderkey END AS id, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'tester' END AS role, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'out' END AS dir FROM orders)
-SELECT o_orderkey, concat_ws(',', CASE WHEN id = '' THEN 'id_required' WHEN NOT regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9._-]*') THEN 'id_invalid' END, CASE WHEN trim(role) = '' THEN 'role_required' END, CASE WHEN dir = '' THEN 'output_dir_required' END) AS issues FROM t
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '.x' WHEN 2 THEN 'bad id!' ELSE 't-' || o_orderkey END AS id,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'tester' END AS role, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'out' END AS dir,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'doc' END AS type, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a/b' END AS path FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN id = '' THEN 'task_id_required@task.id' WHEN NOT regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9._-]*') THEN 'task_id_invalid@task.id' END,
+  CASE WHEN role = '' THEN 'task_role_required@task.role' END, CASE WHEN dir = '' THEN 'task_output_dir_required@task.output_dir' END,
+  CASE WHEN type = '' THEN 'artifact_type_required@task.input_artifacts[0].type' WHEN path = '' THEN 'artifact_path_required@task.input_artifacts[0].path' END) AS issues FROM t
 """)
 def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.operators.validate import task_issues
 
-    k = F.col("o_orderkey")
+    k, t = F.col("o_orderkey"), F.lit
+    pick = lambda n, *values: F.element_at(F.array(*values), (k % n + 1).cast("int"))
     tasks = read(spark, sf_dir, "orders").select(
-        "o_orderkey", F.when(k % 5 == 0, "").when(k % 7 == 0, "bad id!").otherwise(F.concat(F.lit("t-"), k.cast("string"))).alias("id"),
-        F.when(k % 4 == 0, " ").otherwise("tester").alias("role"), F.when(k % 6 == 0, "").otherwise("out").alias("output_dir"),
+        "o_orderkey", pick(5, t(""), t(".x"), t("bad id!"), *[F.concat(t("t-"), k.cast("string"))] * 2).alias("id"), pick(4, t(""), t(" "), t("tester"), t("tester")).alias("role"), F.when(k % 6 == 0, "").otherwise("out").alias("output_dir"),
+        F.array(F.struct(F.when(k % 7 == 0, "").otherwise("doc").alias("type"), F.when(k % 3 == 0, "").otherwise("a/b").alias("path"))).alias("artifacts"),
     )
-    return tasks.select("o_orderkey", F.array_join(F.transform(task_issues(F.col("id"), F.col("role"), F.col("output_dir")), lambda x: x["code"]), ",").alias("issues"))
+    found = task_issues(F.col("id"), F.col("role"), F.col("output_dir"), F.col("artifacts"))
+    return tasks.select("o_orderkey", F.array_join(F.transform(found, lambda x: F.concat(x["code"], F.lit("@"), x["source"])), ",").alias("issues"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE 't' END AS task_id, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'r' END AS role, CASE WHEN p_size % 5 = 0 THEN chr(9) ELSE p_name END AS goal, CASE WHEN p_size % 7 = 0 THEN '' ELSE 'json' END AS out,
+  CASE WHEN p_size % 4 = 0 THEN ' ' ELSE 'fact' END AS type, CASE WHEN p_size % 6 = 0 THEN '' ELSE 'x' END AS ref_type, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'a' END AS ref_path, CASE WHEN p_size % 9 = 0 THEN '' ELSE 'f.go' END AS file, p_size % 11 AS s, p_size % 13 AS e FROM part)
+SELECT p_partkey, concat_ws(',', CASE WHEN trim(task_id) = '' THEN 'context_task_id_required@context.task_id' END, CASE WHEN trim(role) = '' THEN 'context_role_required@context.role' END,
+  CASE WHEN goal = chr(9) THEN 'context_goal_required@context.goal' END, CASE WHEN trim(out) = '' THEN 'context_output_schema_required@context.output_schema' END,
+  CASE WHEN trim(type) = '' THEN 'context_input_type_required@context.inputs[0].type' END, CASE WHEN trim(ref_type) = '' THEN 'context_input_ref_type_required@context.inputs[0].ref.type' END, CASE WHEN trim(ref_path) = '' THEN 'context_input_ref_path_required@context.inputs[0].ref.path' END,
+  CASE WHEN file = '' THEN 'source_slice_file_path_required@context.source_slices[0].file_path' END, CASE WHEN s <= 0 THEN 'source_slice_start_line_invalid@context.source_slices[0].start_line' END,
+  CASE WHEN e < s THEN 'source_slice_end_line_invalid@context.source_slices[0].end_line' END) AS issues FROM p
+""")
+def validate_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.operators.validate import packet_issues
+
+    n = F.col("p_size")
+    when = lambda m, then, other: F.when(n % m == 0, F.lit(then)).otherwise(other if isinstance(other, Column) else F.lit(other))
+    inputs = F.array(F.struct(when(4, " ", "fact").alias("type"), F.struct(when(6, "", "x").alias("type"), when(8, "", "a").alias("path")).alias("ref")))
+    slices = F.array(F.struct(when(9, "", "f.go").alias("file_path"), (n % 11).alias("start_line"), (n % 13).alias("end_line")))
+    found = packet_issues(when(2, " ", "t"), when(3, "", "r"), when(5, "\t", F.col("p_name")), when(7, "", "json"), inputs, slices)
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat(x["code"], F.lit("@"), x["source"])), ",").alias("issues"))
 
 
 @query("""

@@ -97,17 +97,23 @@ def named_calls(raw: DataFrame, imports: DataFrame) -> DataFrame:
     return out.where((F.col("target_canonical_name") != "") | (F.col("target_file_path") != "") | F.col("category").isNotNull())
 
 
+def dotted_ends(canonical: Column, name: Column) -> Column:
+    """The name, and what follows each dot of the canonical name."""
+    parts = F.split(canonical, r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(F.size(parts) > 1, F.array_append(ends, name)).otherwise(F.array(name))
+
+
 def resolve_targets(calls: DataFrame, symbols: DataFrame, exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls with target_symbol_id where it has a single owner, and a diagnostic for each that names a file but stays open."""
     owners = resolve.unique_owners(symbols, "canonical_name", "id").select(F.col("canonical_name").alias("target_canonical_name"), F.col("id").alias("by_name"))
     calls = calls.join(owners, "target_canonical_name", "left")
     open_ = calls.where("by_name is null and target_file_path <> '' and target_export_name <> ''")
-    in_file = symbols.select("repository_id", F.col("file_path").alias("target_file_path"), F.col("id").alias("sid"), F.col("canonical_name").alias("sc"), F.col("name").alias("sn"))
-    through = exports.groupBy("repository_id", "file_path", "name").agg(F.max_by("canonical_name", "ordinal").alias("ec")).select("repository_id", F.col("file_path").alias("target_file_path"), F.col("name").alias("target_export_name"), "ec")
-    hits = open_.join(through, ["repository_id", "target_file_path", "target_export_name"], "left").join(in_file, ["repository_id", "target_file_path"], "left")
-    first, second = F.col("sc") == F.col("ec"), (F.col("sn") == F.col("target_export_name")) | F.endswith("sc", F.concat(F.lit("."), F.col("target_export_name")))
-    counts = hits.groupBy("id").agg(F.count_distinct(F.when(first, F.col("sid"))).alias("n1"), F.min(F.when(first, F.col("sid"))).alias("t1"), F.count_distinct(F.when(first | second, F.col("sid"))).alias("n2"), F.min(F.when(first | second, F.col("sid"))).alias("t2"))
-    by_export = counts.select("id", F.when(F.col("n1") == 1, F.col("t1")).when((F.col("n1") == 0) & (F.col("n2") == 1), F.col("t2")).alias("by_export"), "n2")
+    in_file = symbols.select("repository_id", F.col("file_path").alias("target_file_path"), F.col("id").alias("sid"), "canonical_name", dotted_ends(F.col("canonical_name"), F.col("name")).alias("names"))
+    through = exports.groupBy("repository_id", "file_path", "name").agg(F.max_by("canonical_name", "ordinal").alias("exported")).select("repository_id", F.col("file_path").alias("target_file_path"), F.col("name").alias("target_export_name"), "exported")
+    asked = open_.join(through, ["repository_id", "target_file_path", "target_export_name"], "left")
+    counts = resolve.two_stage(asked, in_file, "id", ["repository_id", "target_file_path"], "exported", "target_export_name", "canonical_name", "names", "sid")
+    by_export = counts.select("id", F.col("resolved").alias("by_export"), F.col("n_all").alias("n2"))
     out = calls.join(by_export, "id", "left").withColumn("target_symbol_id", F.coalesce("by_name", "by_export", F.lit("")))
     out = resolve.back_fill(out, "target_file_path", symbols, "target_symbol_id", "id", "file_path")
     ambiguous = out.where("n2 is not null and by_export is null")
@@ -160,7 +166,7 @@ def index_workspace(files: DataFrame, generated_at: str) -> Index:
     tech, services = scan.technology(placed), scan.services(placed)
     counted = services.groupBy("root").agg(F.count("*").alias("n"))
     out.tables["repositories"] = tech.join(counted, "root", "left").select(repository.alias("id"), F.coalesce(F.nullif(F.substring_index("root", "/", -1), F.lit("")), F.lit("workspace")).alias("name"), F.col("root").alias("root_path"), S.repo_role(F.coalesce("n", F.lit(0)), F.col("languages"), F.col("build_files")).alias("role"), "languages", "build_files", "frameworks")
-    hints = placed.select("root", S.framework_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
+    hints = placed.select("root", S.boundary_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
     out.tables["services"] = services.join(hints, "root", "left").select(S.stable_id("svc", F.col("root"), F.col("service_root"), F.col("name")).alias("id"), repository.alias("repository_id"), "name", F.col("service_root").alias("root_path"), "entrypoints", "boundary_hints")
     count = lambda name, column: out[name].agg(F.count("*").alias(column))
     issues = out["diagnostics"].agg(F.count_if(F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("deferred"), F.count_if(~F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("ambiguous"))

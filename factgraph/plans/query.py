@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import scalars as S
@@ -37,8 +37,8 @@ def context_packet(tables: dict[str, DataFrame], root: DataFrame, contents: Data
     if contents is not None:
         body = contents.select("repository_id", F.col("path").alias("__p"), F.decode("content", "UTF-8").alias("__t"))
         out = out.join(body, (F.col("symbol.repository_id") == body["repository_id"]) & (F.col("symbol.file_path") == F.col("__p")), "left").drop(body["repository_id"])
-        slice_ = lambda w: S.source_slice(F.col("__t"), F.col("symbol.start_line"), F.col("symbol.end_line"), w)
-        text: Column = F.array_join(F.slice(F.split("__t", "\n"), F.col("symbol.start_line").cast("int"), (F.col("symbol.end_line") - F.col("symbol.start_line") + 1).cast("int")), "\n")
-        out = out.withColumn("function_text", text).withColumn("context_text", slice_(window)).drop("__p", "__t")
+        both = S.source_context(F.col("__t"), F.col("symbol.start_line"), F.col("symbol.end_line"), window)
+        text = lambda part: F.coalesce(both[part], F.lit(""))
+        out = out.withColumn("function_source", text("source")).withColumn("surrounding_context", text("context")).drop("__p", "__t")
     empty = {c: F.coalesce(c, F.array()) for c in ("imports", "outgoing", "incoming", "tests")}
     return out.withColumns(empty).drop("file_id")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from factgraph.functions import scalars as S
 from factgraph.operators.graph import classify
 
-#: Fixed texts of the deterministic reviewer.
-RATIONALES = {"accepted": "target symbol is resolved", "rejected": "test relationship is outside the runtime flow", "ambiguous": "target symbol is not resolved"}
+#: The rationales of the deterministic reviewer.
+RATIONALES = {"accepted": "target symbol is present in indexed facts", "rejected": "test edge excluded from runtime flow", "ambiguous": "candidate is unresolved and needs verification"}
 
 
 def deterministic(edges: DataFrame) -> DataFrame:
