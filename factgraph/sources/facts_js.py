@@ -14,6 +14,8 @@ TOKEN = re.compile(
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 #: Suffixes tried for a relative import, in order.
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
+#: A piece of a template literal, up to its end or to a substitution.
+TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.S)
 NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "with", "new", "constructor"}
 
 
@@ -32,9 +34,22 @@ class Stream:
     def __init__(self, source: bytes):
         self.text = source.decode("latin-1")
         self.toks: list[tuple[str, str, int, int]] = []
-        at = 0
+        at, depth = 0, 0
+        templates: list[int] = []  # brace depths at which a template literal goes on
         while at < len(self.text):
             before = self.toks[-1] if self.toks else None
+            if self.text[at] == "`" or templates and templates[-1] == depth and self.text[at] == "}":
+                if self.text[at] == "}":
+                    self.toks.append(("op", "}", at, at + 1))
+                    templates.pop()
+                end = TEMPLATE.match(self.text, at + 1).end()
+                more = self.text.startswith("${", end)
+                self.toks.append(("string", self.text[at : end + (not more)], at, min(len(self.text), end + (not more))))
+                if more:
+                    self.toks.append(("op", "{", end, end + 2))
+                    templates.append(depth)
+                at = min(len(self.text), end + 1 + more)
+                continue
             if self.text[at] == "/" and (before is None or before[0] == "op" and before[1] not in (")", "]", "}") or before[1] in ("return", "typeof", "case")):
                 m = REGEX.match(self.text, at)
                 if m:
@@ -43,6 +58,7 @@ class Stream:
                     continue
             m = TOKEN.match(self.text, at)
             at = m.end()
+            depth += (m.group() == "{") - (m.group() == "}")
             if m.lastgroup not in ("space", "comment"):
                 self.toks.append((m.lastgroup, m.group(), m.start(), m.end()))
         self.match: dict[int, int] = {}

@@ -1,4 +1,8 @@
-"""Raw facts of one Python file, from its syntax tree; a file that does not parse gets its definitions by line."""
+"""Raw facts of one Python file, from its syntax tree.
+
+Lines that do not parse are taken out one by one (the header of a definition is completed instead) until the
+rest parses; if nothing helps, definitions are found by line.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,34 @@ def import_candidates(path: str, module: str, level: int) -> list[str]:
     return [f"{name}.py", f"{name}/__init__.py"] if name else ["__init__.py"]
 
 
+HEADER = re.compile(r"([ \t]*)(async[ \t]+def|def|class)[ \t]+(\w+)")
+
+
+def tolerant_parse(source: bytes, tries: int = 200) -> ast.Module | None:
+    """The tree of what parses, by the lines of ``source``; None if it can't be mended."""
+    lines, mended = source.decode("utf-8", "replace").replace("\0", " ").split("\n"), set()
+    for _ in range(tries):
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            body = re.search(r"expected an indented block after .* on line (\d+)", e.msg or "")
+            n = int(body[1]) - 1 if body else min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            if body:
+                lines[n], mark = lines[n] + " pass", (n, "body")
+            elif (m := HEADER.match(lines[n])) and (n, "header") not in mended:
+                lines[n], mark = f"{m[1]}{m[2]} {m[3]}{'' if m[2] == 'class' else '()'}:", (n, "header")
+            else:
+                indent = lines[n][: len(lines[n]) - len(lines[n].lstrip())]
+                mark = (n, "gone" if (n, "line") in mended else "line")
+                lines[n] = "" if mark[1] == "gone" else indent + "pass"
+            if mark in mended:
+                return None
+            mended.add(mark)
+        except (ValueError, RecursionError):
+            return None
+    return None
+
+
 def python_facts(path: str, source: bytes) -> dict:
     module, base = module_path(path), path.rsplit("/", 1)[-1]
     out: dict = {"package": module, "symbols": [], "imports": [], "exports": [], "calls": [], "hints": [], "diagnostics": [], "fields": []}
@@ -30,16 +62,16 @@ def python_facts(path: str, source: bytes) -> dict:
     starts = [0, *(m.end() for m in re.finditer(b"\n", source))]
 
     def add(name: str, receiver: str, kind: str, start: tuple[int, int], end: tuple[int, int]) -> int:
-        a, b = starts[start[0] - 1] + start[1], starts[end[0] - 1] + end[1]
+        stop = starts[end[0]] - 1 if end[0] < len(starts) else len(source)
+        a, b = starts[start[0] - 1] + start[1], min(starts[end[0] - 1] + end[1], stop)
         out["symbols"].append({"name": name, "receiver": receiver, "canonical_name": ".".join(x for x in (module, receiver, name) if x), "kind": kind, "signature": source[a:b].decode("utf-8", "replace").strip(), "synthetic": False, "start_line": start[0], "start_col": start[1] + 1, "end_line": end[0], "end_col": end[1] + 1, "start_byte": a, "end_byte": b})
         return len(out["symbols"]) - 1
 
     def export(name: str) -> None:
         out["exports"].append({"name": name, "canonical_name": f"{module}.{name}", "is_default": False})
 
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = tolerant_parse(source)
+    if tree is None:
         for n, line in enumerate(text.split("\n"), 1):
             if m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", line):
                 width = len(line.encode())

@@ -48,6 +48,23 @@ def test_python():
     assert [s["name"] for s in broken["symbols"]] == ["f", "G"] and not broken["calls"]
 
 
+def test_python_that_does_not_parse_keeps_the_rest():
+    r = python_facts("x.py", b"import a\nclass C:\n    def f(self):\n        self.g()\n    def h(self, :\n        a.b(1)\nx = = 2\ndef last():\n    run()\n")
+    assert [(s["canonical_name"], s["kind"]) for s in r["symbols"]] == [("x.C", "class"), ("x.C.f", "method"), ("x.C.h", "method"), ("x.last", "function")]
+    assert [(c["form"], c["name"]) for c in r["calls"]] == [("self", "g"), ("member", "b"), ("identifier", "run")]
+    whole = b'import a\nclass C:\n    def f(self):\n        """doc"""\n        return [self.g(i) for i in range(3)]\n\t# x\n@d(1)\nasync def q(): await z()\n'
+    for cut in range(0, len(whole), 3):
+        python_facts("x.py", whole[:cut])
+
+
+def test_calls_inside_template_literals():
+    r = js_facts("a.js", b"function f() { return `t ${g(1)} u ${h(`in ${k()} {`)}` + m(); }\nfunction z() { y() }\n")
+    assert [s["name"] for s in r["symbols"]] == ["f", "z"] and [c["name"] for c in r["calls"]] == ["g", "h", "k", "m", "y"]
+    assert [c["name"] for c in js_facts("a.js", b"const f = () => { a(`{ ${ {x: 1}.x } }`); b() }")["calls"]] == ["a", "b"]
+    for source in (b"`", b"`${", b"`${a", b"}`", b"`\\"):
+        js_facts("a.js", source)
+
+
 def test_typescript():
     r = js_facts("src/a.ts", b"""import d, {x as y, z} from "./lib/u"
 import * as ns from '../k';
