@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import scalars as S
 from factgraph.operators import dedup, graph, ordering, resolve
-from factgraph.plans import review
+from factgraph.plans import fixture, index, review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,14 +73,30 @@ def language_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"), F.count("*").alias("files"))
 
 
-@query("""
-SELECT source, CASE WHEN n_chars < 200 THEN 'small' WHEN n_chars < 2000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS files
-FROM documents GROUP BY ALL
+_ENDINGS = {"en": ".go", "de": ".PY", "fr": ".tsx"}
+_PATH = "source || '/d' || doc_id || CASE lang WHEN 'en' THEN '.go' WHEN 'de' THEN '.PY' WHEN 'fr' THEN '.tsx' ELSE '.toml' END"
+
+
+def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: (source, doc_id, lang, n_chars, path)."""
+    ending = F.lit(".toml")
+    for lang, end in _ENDINGS.items():
+        ending = F.when(F.col("lang") == lang, end).otherwise(ending)
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars")
+    return d.withColumn("path", F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), ending))
+
+
+@query(f"""
+SELECT source, bucket, count(*) AS files FROM (SELECT source, CASE WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.PY' THEN 'python' WHEN path LIKE '%.tsx' THEN 'typescript' ELSE 'config' END AS bucket
+  FROM (SELECT source, {_PATH} AS path FROM documents)) GROUP BY ALL
 """)
 def file_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    bucket = F.when(F.col("n_chars") < 200, "small").when(F.col("n_chars") < 2000, "medium").otherwise("large")
-    return d.groupBy("source", bucket.alias("bucket")).agg(F.count("*").alias("files"))
+    return document_paths(spark, sf_dir).groupBy("source", S.file_bucket(F.col("path")).alias("bucket")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'go' ELSE NULL END AS language FROM documents")
+def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_paths(spark, sf_dir).select("doc_id", S.language_of(F.col("path")).alias("language"))
 
 
 @query("""
@@ -94,14 +110,14 @@ def ignore_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, CASE WHEN services > 0 THEN 'service' WHEN n = 1 AND has_en THEN 'shared_lib' WHEN n > 0 AND builds > 0 THEN 'service' ELSE 'unknown' END AS role FROM (
-  SELECT source, count(*) FILTER (WHERE n_chars > 20000) AS services, count(DISTINCT lang) AS n, bool_or(lang = 'en') AS has_en, count(*) FILTER (WHERE n_chars < 100) AS builds
-  FROM documents GROUP BY source)
+WITH r AS (SELECT source, count(*) FILTER (WHERE n_chars > 20000) AS services, bool_or(lang = 'en') AS go, bool_or(lang = 'de') AS py, bool_or(n_chars < 100) AS docker, bool_or(n_chars > 9000) AS module FROM documents GROUP BY source)
+SELECT source, CASE WHEN services > 0 THEN 'service' WHEN go AND NOT py THEN 'shared_lib' WHEN (go OR py) AND (docker OR module) THEN 'service' WHEN docker THEN 'infra' ELSE 'unknown' END AS role FROM r
 """)
 def repo_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 20000).alias("services"), F.count_distinct("lang").alias("n"), F.bool_or(F.col("lang") == "en").alias("has_en"), F.count_if(F.col("n_chars") < 100).alias("builds"))
-    role = F.when(F.col("services") > 0, "service").when((F.col("n") == 1) & F.col("has_en"), "shared_lib").when((F.col("n") > 0) & (F.col("builds") > 0), "service").otherwise("unknown")
-    return d.select("source", role.alias("role"))
+    language = F.when(F.col("lang") == "en", "go").when(F.col("lang") == "de", "python")
+    build = F.when(F.col("n_chars") < 100, "deploy/Docker-compose.yml").when(F.col("n_chars") > 9000, "go.mod")
+    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 20000).alias("services"), F.collect_set(language).alias("languages"), F.collect_set(build).alias("build_files"))
+    return d.select("source", S.repo_role(F.col("services"), F.col("languages"), F.col("build_files")).alias("role"))
 
 
 @query("""
@@ -433,6 +449,15 @@ def validate_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat(x["code"], F.lit("@"), x["source"])), ",").alias("issues"))
 
 
+@query("""
+SELECT page_id, CASE WHEN u LIKE '%.proto' THEN 'grpc' WHEN contains(u, 'openapi') OR contains(u, 'swagger') THEN 'http' WHEN contains(u, 'kafka') THEN 'kafka' END AS hint
+FROM (SELECT page_id, lower(url || CASE page_id % 5 WHEN 0 THEN '/Echo.PROTO' WHEN 1 THEN '/OpenAPI.yaml' WHEN 2 THEN '/swagger/x' WHEN 3 THEN '/kafka/openapi' ELSE '/Kafka.go' END) AS u FROM pages)
+""")
+def boundary_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tails = F.array(*[F.lit(x) for x in ("/Echo.PROTO", "/OpenAPI.yaml", "/swagger/x", "/kafka/openapi", "/Kafka.go")])
+    return read(spark, sf_dir, "pages").select("page_id", S.boundary_hint(F.concat("url", F.element_at(tails, (F.col("page_id") % 5 + 1).cast("int")))).alias("hint"))
+
+
 @query("""
 WITH l AS (SELECT p_partkey, translate(p_name, '-/: ', '____') AS label FROM part), c AS (SELECT label FROM l GROUP BY label HAVING count(*) > 1)
 SELECT p_partkey, CASE WHEN label IN (SELECT label FROM c) THEN label || '_' || right(p_partkey::VARCHAR, 6) ELSE label END AS participant FROM l
@@ -448,3 +473,63 @@ def markdown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).cast("string")
     text = F.concat(F.lit("# Review of customer "), F.col("o_custkey").cast("string"), F.lit("\naccepted: "), n("accepted"), F.lit(", ambiguous: "), n("ambiguous"), F.lit(", rejected: "), n("rejected"))
     return judged_steps(spark, sf_dir).groupBy("o_custkey").agg(text.alias("summary"))
+
+
+def _facts(spark: SparkSession) -> index.Index:
+    return index.index_workspace(fixture.files(spark), "2024-01-01T00:00:00")
+
+
+def _named(tables: index.Index, rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``: the canonical name of the symbol in ``key``, null if there is none."""
+    return rows.join(tables["symbols"].select(F.col("id").alias(key), F.col("canonical_name").alias(out)), key, "left")
+
+
+@query(fixture.rows_sql("file_path, canonical_name, receiver, kind, start_line, start_col, end_line", fixture.SYMBOLS))
+def fact_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [F.col(c).cast("long").alias(c) for c in ("start_line", "start_col", "end_line")]
+    return _facts(spark)["symbols"].select("file_path", "canonical_name", "receiver", "kind", *lines)
+
+
+@query(fixture.rows_sql("file_path, source, alias, imported_name, resolved_path, is_default, is_namespace, is_local", fixture.IMPORTS))
+def fact_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["imports"].select("file_path", "source", "alias", "imported_name", "resolved_path", "is_default", "is_namespace", "is_local")
+
+
+@query(fixture.rows_sql("file_path, name, canonical_name, is_default", fixture.EXPORTS))
+def fact_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["exports"].select("file_path", "name", "canonical_name", "is_default")
+
+
+@query(fixture.rows_sql("caller, target, target_canonical_name, target_file_path, target_export_name, evidence_source, score, order_index", fixture.CALLS))
+def fact_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _facts(spark)
+    rows = _named(tables, _named(tables, tables["call_candidates"], "source_symbol_id", "caller"), "target_symbol_id", "target")
+    return rows.select("caller", "target", "target_canonical_name", "target_file_path", "target_export_name", "evidence_source", F.round(F.col("confidence_score") * 100).cast("long").alias("score"), F.col("order_index").cast("long").alias("order_index"))
+
+
+@query(fixture.rows_sql("caller, target_symbol, kind, evidence, order_index", fixture.HINTS))
+def fact_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _facts(spark)
+    return _named(tables, tables["execution_hints"], "source_symbol_id", "caller").select("caller", "target_symbol", "kind", "evidence", F.col("order_index").cast("long").alias("order_index"))
+
+
+@query(fixture.rows_sql("file_path, category, evidence", fixture.DIAGNOSTICS))
+def fact_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["diagnostics"].select("file_path", "category", "evidence")
+
+
+@query(fixture.rows_sql("framework, method, path, handler_target, source_expr", fixture.BOUNDARIES))
+def fact_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["boundaries"].select("framework", "method", "path", "handler_target", "source_expr")
+
+
+@query(fixture.rows_sql("name, root_path, entrypoints, boundary_hints, role", fixture.SERVICES))
+def fact_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _facts(spark)
+    roles = tables["repositories"].select(F.col("id").alias("repository_id"), "role")
+    return tables["services"].join(roles, "repository_id").select("name", "root_path", F.array_join("entrypoints", ",").alias("entrypoints"), F.array_join("boundary_hints", ",").alias("boundary_hints"), "role")
+
+
+@query(fixture.rows_sql("path, language, package_name, bucket", fixture.FILES))
+def fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark)["files"].select(F.col("relative_path").alias("path"), "language", "package_name", F.coalesce(S.file_bucket(F.col("relative_path")), F.lit("")).alias("bucket"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import scalars as S
 from factgraph.operators import resolve
+from factgraph.operators.staging import staged
 from factgraph.sources.extract import extract
 from factgraph.sources.routes_go import detect_routes
 from factgraph.sources import scan
@@ -123,7 +124,7 @@ def resolve_targets(calls: DataFrame, symbols: DataFrame, exports: DataFrame) ->
 
 def build(files: DataFrame, extractors: dict | None = None) -> Index:
     """``files``: repository_id, repository_root, path, language, content."""
-    raw = extract(files, extractors)
+    raw = staged(extract(files, extractors), "raw")  # every table below reads it; files are parsed once
     file_ids = files.select("repository_id", "path", S.stable_id("file", F.col("repository_root"), F.col("path")).alias("file_id"))
     symbols = exploded(raw, "symbols").withColumn("id", symbol_id()).join(file_ids, KEY).withColumnRenamed("path", "file_path")
     by_ordinal = symbols.select("repository_id", F.col("file_path").alias("path"), F.col("ordinal").alias("symbol"), F.col("id").alias("source_symbol_id"))
