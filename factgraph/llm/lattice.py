@@ -7,10 +7,13 @@ byte pieces, at a score below all others. ``encode_words`` builds it relationall
 length are exploded, equi-joined to the piece table, grouped by word, and the best path is folded with
 ``aggregate`` over the edges in order of their end. Among equal paths the longer last piece wins.
 
-``encode`` counts the words of all documents, of LONGEST characters at most, and encodes the DICTIONARY most frequent ones so; that table
-has a fixed bound and is broadcast. Rarer and longer words take the same fold where the documents are read, for a
-relational lattice of every distinct word of a corpus would write many times the corpus to disk.
-Null texts are empty and have no pieces.
+``encode`` counts the words of all documents, of LONGEST characters at most, and encodes the DICTIONARY most
+frequent ones so; that table has a fixed bound and is broadcast. Rarer and longer words take the same fold where
+the documents are read, side by side, for a relational lattice of every distinct word of a corpus, and the ids that
+it sends back to the documents, would be several times the corpus on disk. The ids do not depend on which way a
+word went. Null texts are empty and have no pieces; texts and words of any length are encoded whole. Rows are
+encoded one by one, so repeated rows come back as often; an empty table gives an empty one. Of the columns those in
+``keep`` stay, and one named like the result can't be kept.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 400_000
+from factgraph.llm.common import _tables, drop_table, mix, stage_table
+
+MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 150_000
+#: Characters of words that are folded side by side, slots of the filter before the piece table, documents handled at once, and words counted before they are sent.
+AT_ONCE, FILTER, ROWS, COUNTED = 48, 1 << 21, 256, 100_000
 WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
 
 
@@ -54,26 +61,40 @@ def words_of(text: str) -> list[str]:
 
 
 class Folder:
-    """The best path of one word, by the same fold as ``encode_words``; ``rare`` keeps the ids of RARE words at most."""
+    """The best paths of words, by the same fold as ``encode_words``; ``rare`` keeps the ids of RARE words at most.
+
+    ``many`` folds words of AT_ONCE characters at most side by side: the hashes of all their substrings are looked
+    up in the piece table, and each step of the fold goes over all words. Longer words are folded one by one.
+    """
 
     def __init__(self, path: str):
         self.rare: dict[str, bytes] = {}
         self.pieces, self.byte0, self.fallback, _ = piece_table(path)
         self.longest = max(map(len, self.pieces))
+        text = list(self.pieces)
+        codes, first = _codes(text)
+        sizes = np.array([len(t) for t in text])
+        hashes = _prefix(codes)
+        found = np.concatenate([_spans(hashes, first[sizes == n], n) for n in range(1, self.longest + 1)])
+        order = np.argsort(found)
+        rank = np.concatenate([np.flatnonzero(sizes == n) for n in range(1, self.longest + 1)])[order]
+        self.hashes = found[order]
+        self.ids = np.array([self.pieces[t][0] for t in text], np.int32)[rank]
+        self.scores = np.array([self.pieces[t][1] for t in text])[rank]
+        self.filter = np.zeros(FILTER, bool)
+        self.filter[self.hashes & np.uint64(FILTER - 1)] = True
 
     def __call__(self, word: str) -> list[int]:
         n, get = len(word), self.pieces.get
         best, steps, ids = array("d", [0.0]), array("i", [0]), array("i", [0])
         for end in range(1, n + 1):
             top, step, which = best[end - 1] + self.fallback * len(word[end - 1].encode()), 1, -1
-            found = False
             for start in range(max(0, end - self.longest), end):
                 hit = get(word[start:end])
                 if hit:
                     score = best[start] + hit[1]
-                    if not found or score > top:
-                        if found or score >= top:
-                            top, step, which, found = score, end - start, hit[0], True
+                    if score > top or score == top and which < 0:
+                        top, step, which = score, end - start, hit[0]
             best.append(top)
             steps.append(step)
             ids.append(which)
@@ -84,6 +105,84 @@ class Folder:
             n -= step
         return out[::-1]
 
+    def many(self, words: list[str]) -> list[bytes]:
+        """Little-endian int32 ids of each word."""
+        out = [b""] * len(words)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= AT_ONCE), key=lambda i: -len(words[i]))
+        odd = [i for i, w in enumerate(words) if len(w) > AT_ONCE]
+        if short:
+            paths, plain = self._side_by_side([words[i] for i in short])
+            for i, path, ok in zip(short, paths, plain, strict=True):
+                out[i] = path
+                if not ok:
+                    odd.append(i)
+        for i in odd:
+            out[i] = np.array(self(words[i]), np.int32).tobytes()
+        return out
+
+    def _side_by_side(self, words: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Paths of words, longest first, and which have no byte pieces."""
+        codes, first = _codes(words)
+        sizes = np.array([len(w) for w in words])
+        hashes, n = _prefix(codes), len(codes)
+        score, which = np.full((self.longest + 1, n), -np.inf), np.full((self.longest + 1, n), -1, np.int32)
+        for size in range(1, min(self.longest, int(sizes[0])) + 1):
+            h = _spans(hashes, np.arange(n - size + 1), size)
+            at = np.flatnonzero(self.filter[h & np.uint64(FILTER - 1)])
+            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            hit = self.hashes[place] == h[at]
+            score[size, at[hit]], which[size, at[hit]] = self.scores[place[hit]], self.ids[place[hit]]
+        octets = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        node = first + np.arange(len(words))  # of each word's start: a word has one node more than characters
+        best, step, piece = np.zeros(n + len(words)), np.zeros(n + len(words), np.int32), np.full(n + len(words), -1, np.int32)
+        for end in range(1, int(sizes[0]) + 1):
+            active = int(np.searchsorted(-sizes, -end, "right"))
+            base, begin = node[:active], first[:active]
+            top, long, id_ = best[base + end - 1] + self.fallback * octets[begin + end - 1], np.ones(active, np.int32), np.full(active, -1, np.int32)
+            for size in range(min(self.longest, end), 0, -1):
+                found = best[base + end - size] + score[size, begin + end - size]
+                better = (found > top) | ((found == top) & (id_ < 0))
+                if better.any():
+                    top[better], long[better], id_[better] = found[better], size, which[size, (begin + end - size)[better]]
+            best[base + end], step[base + end], piece[base + end] = top, long, id_
+        owner, path, turn = [], [], []
+        live, at = np.arange(len(words)), sizes.copy()
+        for k in range(int(sizes[0])):
+            here = node[live] + at[live]
+            owner.append(live)
+            path.append(piece[here])
+            turn.append(np.full(len(live), -k))
+            at[live] -= step[here]
+            live = live[at[live] > 0]
+            if not len(live):
+                break
+        owner_, path_ = np.concatenate(owner), np.concatenate(path)
+        order = np.lexsort((np.concatenate(turn), owner_))
+        owner_, path_ = owner_[order], path_[order]
+        bounds = np.searchsorted(owner_, np.arange(len(words) + 1)).tolist()
+        plain = np.ones(len(words), bool)
+        plain[owner_[path_ < 0]] = False
+        data = path_.astype("<i4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], plain.tolist()
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words one after the other, and where each begins."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, words[:-1])])
+
+
+def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _tables(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
+    return sums, down
+
+
+def _spans(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the spans of ``size`` code points, equal for equal spans wherever they stand."""
+    sums, down = prefix
+    return mix((sums[start + size] - sums[start]) * down[start] ^ np.uint64(size))
+
 
 @functools.lru_cache(maxsize=4)
 def folder(path: str) -> Folder:
@@ -132,11 +231,12 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "count"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(w for w in words_of(t or "") if len(w) <= LONGEST)
-                if len(counts) > 500_000:
-                    yield out()
-                    counts.clear()
+            for at in range(0, b.num_rows, ROWS):
+                for t in b.column(0).slice(at, ROWS).to_pylist():
+                    counts.update(w for w in words_of(t or "") if len(w) <= LONGEST)
+                    if len(counts) > COUNTED:
+                        yield out()
+                        counts.clear()
         yield out()
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
@@ -146,8 +246,9 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     """``keep`` columns and ids of every row."""
     spark = docs.sparkSession
     path = path or default_path()
-    frequent = count_words(docs, text).orderBy(F.desc("count"), "word").limit(dictionary).select("word")
+    frequent = stage_table(count_words(docs, text).orderBy(F.desc("count"), "word").limit(dictionary).select("word"), "words")
     table = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in encode_words(frequent, path).toLocalIterator()}
+    drop_table(frequent)
     sent = spark.sparkContext.broadcast(table)
     plain = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>"])
@@ -155,18 +256,18 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fold = sent.value, folder(path)
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
+            for at in range(0, big.num_rows, ROWS):
+                b = big.slice(at, ROWS)
                 rare = fold.rare
                 if len(rare) > RARE:
                     rare.clear()
+                texts = [words_of(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+                new = list({w for words in texts for w in words if w not in known and w not in rare})
+                long: dict[str, bytes] = {}
+                for w, ids in zip(new, fold.many(new), strict=True):
+                    (rare if len(w) <= LONGEST else long)[w] = ids
                 offsets, parts = [0], []
-                for t in b.column(b.num_columns - 1).to_pylist():
-                    words = words_of(t or "")
-                    long: dict[str, bytes] = {}
-                    for w in {*words}:
-                        if w not in known and w not in rare:
-                            (rare if len(w) <= LONGEST else long)[w] = np.array(fold(w), np.int32).tobytes()
+                for words in texts:
                     part = b"".join([known.get(w) or rare.get(w) or long[w] for w in words])
                     parts.append(part)
                     offsets.append(offsets[-1] + len(part) // 4)

@@ -156,11 +156,25 @@ def test_relational_lattice_equals_the_fold_and_the_best_path(spark):
         assert score == pytest.approx(best_score(w))
 
 
+def test_words_folded_side_by_side_take_the_same_paths():
+    rng = random.Random(12)
+    fold = lattice.Folder(lattice.default_path())
+    parts = ["the", "▁", "ing", "tion", "日本", "é", "😀", "x", "qz", "anti", "▁▁", "0", "ö"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(800)] + WORDS + ["a" * 300]
+    assert [list(np.frombuffer(x, np.int32)) for x in fold.many(words)] == [fold(w) for w in words]
+    for w in words[:100]:
+        pieces, byte0, fallback, spelled = lattice.piece_table(lattice.default_path())
+        score = sum(fallback if byte0 <= i < byte0 + 256 else pieces[spelled[i]][1] for i in fold(w))
+        assert score == pytest.approx(best_score(w))
+    assert fold.many([]) == []
+
+
 def test_encode_decode_round_trip(spark):
     texts = ["Hello  world\nfoo\tbar ", "", None, "naïve 日本語 😀 end", " lead", "z" * 5000, "the cat " * 300, "\n\n"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    rows = {r["doc_id"]: r["decoded"] for r in lattice.decode(lattice.encode(df, dictionary=5)).collect()}
+    rows = {r["doc_id"]: r["decoded"] for r in lattice.decode(lattice.encode(df.unionByName(df), dictionary=5)).collect()}
     assert rows == {i: t or "" for i, t in enumerate(texts)}
+    assert lattice.encode(df.unionByName(df), dictionary=5).count() == 2 * len(texts)  # repeated rows, each once more
     assert lattice.encode(df.limit(0)).count() == 0
 
 
