@@ -1,14 +1,20 @@
 """Document scores by masked pseudo-likelihood.
 
-Words become ids of a small vocabulary: the most frequent words of the whole corpus, and hash buckets for
-the others. A window network sees SIDE words on both sides of a position, never the word itself, and
-predicts it: embeddings, one tanh layer, soft-max. A document's score is the sum of the conditional
-log-probabilities of all its words.
-
-Word counts cover all documents. The network is trained in numpy by the tasks that read the corpus, each
-from the same weights in one pass over all its documents, and the weights are averaged by
-words seen (a sum per weight, so what reaches the driver has the size of the network). What is gathered so
-grows with the corpus. Null and empty texts have no words: sum 0, mean 0.
+A window network sees SIDE words on both sides of a position, never the word itself, and predicts it:
+embeddings, one tanh layer, soft-max over classes. The WORDS most frequent words are classes of their own, the
+others are dealt to BUCKETS classes by hash, and a word of such a class has its share of the class's
+occurrences in the whole corpus as its probability there. So every word has a probability of its own, and those
+of all words add up to one. A document's score is the sum of the conditional log-probabilities of all its words.
+
+Word counts cover all documents, and the vocabulary grows with them: every word is counted apart as long as
+their number is at most KNOWN (a table of fixed bound, broadcast); beyond it the rarest counts share what is left
+of their class evenly. The network is trained in numpy by the tasks that read the corpus, each from the same
+weights in one pass over all its documents, and the weights are averaged by words seen (a sum per weight, so
+what reaches the driver has the size of the network). Weights so depend, slightly, on how rows fall into tasks.
+
+Null and empty texts have no words: sum 0, mean 0. Texts are read whole, in slices. Rows are scored one by one, so
+repeated rows come back as often, with scores equal up to rounding. An empty table trains nothing: the first weights stay, and all
+words are unknown. Columns outside ``keep`` are not read; one named like a result can't be kept.
 """
 
 from __future__ import annotations
@@ -20,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import encoded, fraction_filter, slices, span_hashes, word_spans
+from factgraph.llm.common import drop_table, encoded, fraction_filter, slices, span_hashes, stage_table, word_spans
 
-WORDS, BUCKETS, SIDE, DIM, HIDDEN = 127, 64, 2, 12, 32
+WORDS, BUCKETS, SIDE, DIM, HIDDEN, KNOWN = 127, 64, 2, 12, 32, 1 << 20
 SIZE = 1 + WORDS + BUCKETS
 SHAPES = [("e", (SIZE, DIM)), ("w1", (2 * SIDE * DIM, HIDDEN)), ("b1", (HIDDEN,)), ("w2", (HIDDEN, SIZE)), ("b2", (SIZE,))]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -56,17 +62,46 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Vocabulary:
-    def __init__(self, top: np.ndarray):
+    """Class ids of words, and the log of each word's share of its class.
+
+    ``top``: hashes of the words with classes of their own. ``known`` and ``counts``: hashes of words counted apart.
+    ``total``, ``rest`` and ``kinds``: for each bucket its occurrences, those of words not counted apart, and how many such words there are.
+    """
+
+    def __init__(self, top: np.ndarray, known: np.ndarray | None = None, counts: np.ndarray | None = None, total: np.ndarray | None = None, rest: np.ndarray | None = None, kinds: np.ndarray | None = None):
+        zero = np.zeros(BUCKETS)
+        total, rest, kinds = (zero if x is None else x for x in (total, rest, kinds))
+        known, counts = (np.zeros(0, t) if x is None else x for x, t in ((known, np.uint64), (counts, np.int64)))
         self.top = np.sort(top)
+        order = np.argsort(known)
+        self.known = known[order]
+        self.share = np.log(np.maximum(counts[order], 1) / np.maximum(total[self.bucket(self.known)], 1)).astype(np.float32)
+        self.tail = np.log(np.maximum(rest, 1) / np.maximum(kinds, 1) / np.maximum(total, 1))
+
+    @staticmethod
+    def bucket(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = (1 + WORDS + (hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+        out = 1 + WORDS + self.bucket(hashes)
         if len(self.top):
             at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
             hit = self.top[at] == hashes
             out[hit] = 1 + at[hit]
         return out
 
+    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log-probability of each word given its class."""
+        out = np.zeros(len(hashes))
+        rare = np.flatnonzero(ids > WORDS)
+        some, which = np.unique(hashes[rare], return_inverse=True)
+        share = self.tail[self.bucket(some)]
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)
+            share = np.where(self.known[at] == some, self.share[at], share)
+        out[rare] = share[which]
+        return out
+
 
 def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(words, 2 * SIDE) context ids, 0 beyond a text's ends."""
@@ -122,8 +157,9 @@ class Adam:
             p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words, counted over all documents."""
+def vocabulary(docs: DataFrame, text: str = "text", most: int | None = None) -> Vocabulary:
+    """The words of all documents, of which ``most`` (KNOWN) at most are counted apart: those of greatest count, whole counts at a time."""
+    most = KNOWN if most is None else most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -144,9 +180,23 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
             k, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["h", "c"])
 
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(WORDS).select("h").collect()
-    return Vocabulary(np.array([r["h"] for r in top], np.int64).astype(np.uint64))
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = stage_table(counted.withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int")), "words")
+    top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(WORDS).select("h").collect()], np.int64)
+    of = counts.where(~F.col("h").isin(top.tolist())) if len(top) else counts
+    least, room = 1 << 20, most
+    for r in sorted(of.groupBy(F.least("c", F.lit(least)).alias("c")).count().collect(), reverse=True):  # one row for each count
+        if r["count"] > room:
+            break
+        least, room = r["c"], room - r["count"]
+    apart = of.where(F.col("c") >= least).select("h", "c").toArrow()
+    known, n = (apart.column(i).to_numpy().astype(t) for i, t in ((0, np.uint64), (1, np.int64)))
+    total, rest, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    unknown = F.col("c") < least
+    for r in of.groupBy("b").agg(F.sum("c").alias("total"), F.sum(F.when(unknown, F.col("c")).otherwise(0)).alias("rest"), F.count_if(unknown).alias("kinds")).collect():
+        total[r["b"]], rest[r["b"]], kinds[r["b"]] = r["total"], r["rest"], r["kinds"]
+    drop_table(counts)
+    return Vocabulary(top.astype(np.uint64), known, n, total, rest, kinds)
 
 
 def train(docs: DataFrame, words: Vocabulary, text: str = "text", key: str = "doc_id", train_share: float = 1.0, rounds: int = 1, batch: int = 1024, rate: float = 0.01) -> dict[str, np.ndarray]:
@@ -155,7 +205,7 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", key: str = "do
     spark = docs.sparkSession
     share = (docs if train_share >= 1 else docs.where(fraction_filter(key, train_share, 41))).select(F.col(text).cast("string"))
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((flat(now), words))
+        sent = spark.sparkContext.broadcast((flat(now), Vocabulary(words.top)))
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, sent=sent) -> Iterator[pa.RecordBatch]:
             start, vocab = sent.value
@@ -195,7 +245,8 @@ def score_documents(docs: DataFrame, weights: dict[str, np.ndarray], words: Voca
             sizes, sums = [], []
             for hashes, bounds in word_hashes(encoded(b.column(b.num_columns - 1))):
                 target = vocab.ids(hashes)
-                total = np.concatenate([[0.0], np.cumsum(log_probs(p, windows(target, bounds), target))])
+                each = log_probs(p, windows(target, bounds), target) + vocab.shares(hashes, target)
+                total = np.concatenate([[0.0], np.cumsum(each)])
                 sizes.append(np.diff(bounds))
                 sums.append(total[bounds[1:]] - total[bounds[:-1]])
             n, s = (np.concatenate([*x, np.zeros(0)]) for x in (sizes, sums))

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,10 +132,37 @@ def test_pseudo_likelihood(spark):
         around = [ids[j] if 0 <= j < len(ids) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
         _, _, z = lm.forward(net, np.array([around]))
         total += float(z[0, target] - np.log(np.exp(z[0]).sum()))
+    assert (words.shares(hashes, ids) == 0).all()  # the few words here have classes of their own
     assert rows[0]["sum_log_prob"] == pytest.approx(total, rel=1e-4)
     assert lm.score_documents(df.limit(0), net, words).count() == 0
 
 
+def test_every_word_has_its_share_of_its_class(spark):
+    rng = random.Random(5)
+    tokens = [f"w{rng.randrange(400) * rng.randrange(400)}" for _ in range(9000)]
+    texts = [" ".join(tokens[i : i + 90]) for i in range(0, 9000, 90)]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (900, None), (901, "")], "doc_id long, text string")
+    counts = Counter(t for text in [*texts, texts[0]] for t in text.split())
+    names = list(counts)
+    hashes = np.concatenate([h for h, _ in lm.word_hashes([" ".join(names).encode()])])
+    for most in (1 << 20, 300):
+        words = lm.vocabulary(df, most=most)
+        assert len(words.known) <= most
+        ids = words.ids(hashes)
+        share = np.exp(words.shares(hashes, ids))
+        for c in np.unique(ids):  # the words of a class share all of it
+            assert share[ids == c].sum() == pytest.approx(1, rel=1e-4)
+        known = np.isin(hashes, words.known)
+        for i in np.flatnonzero(known).tolist():
+            inside = sum(counts[names[j]] for j in np.flatnonzero(ids == ids[i]).tolist())
+            assert share[i] == pytest.approx(counts[names[i]] / inside, rel=1e-4)
+        assert known.any() and (most > 300 or not known[ids > lm.WORDS].all())
+    rows = lm.score_documents(df, lm.initial(), words).collect()
+    assert len(rows) == 103 and len({round(r["sum_log_prob"], 6) for r in rows if r["doc_id"] == 0}) == 1
+    empty = lm.vocabulary(df.limit(0))
+    assert lm.score_documents(df, lm.train(df.limit(0), empty), empty).where("doc_id = 0").first()["sum_log_prob"] < 0
+
+
 def test_every_document_shapes_the_weights(spark):
     df = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(60)], "doc_id long, text string")
     outside = df.where(~fraction_filter("doc_id", 1 / 12, 41))
