@@ -4,7 +4,9 @@
 ``audio_features`` reads the samples back, resamples them with a polyphase filter, takes overlapped
 log-mel filterbanks and cuts them into segments by energy with hysteresis. Features of a row depend on
 its samples alone, so equal payloads give equal values. Frames are made in blocks: memory does not grow
-with a row's length beyond its own samples. Null and empty payloads become 64 zero bytes.
+with a row's length beyond its own samples. Null and empty payloads become 64 zero bytes. Repeated rows come back
+as often, an empty table gives an empty one; columns outside ``keep`` are not read, and one named like a result
+(payload, n_frames, tensors, segments, feature) can't be kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, UP, DOWN = 16_000, 1, 4
+RATE, UP, DOWN = 16_000, 3, 8
 FRAME, HOP, MELS, BLOCK = 256, 128, 32, 64
 #: Decibels over the row's mean at which a segment starts, and below which it ends.
 HIGH_DB, LOW_DB = 0.5, -0.5
@@ -136,8 +138,9 @@ def encode_wav(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
     return df.withColumn(out, F.concat(F.lit(bytearray(b"RIFF")), little(total + F.lit(36)), F.lit(bytearray(fixed)), little(total), padded))
 
 
-#: tensors: log-mel blocks of the fixed shape (BLOCK, MELS), the last one zero-padded, with their time spans.
-SCHEMA = "payload binary, n_frames int, tensors array<struct<start_s: double, end_s: double, frames: int, values: array<float>>>, segments array<struct<start_s: double, end_s: double, mean_log_energy: double>>, feature string"
+#: tensors: an Arrow stream of TENSORS, log-mel blocks of the fixed shape (BLOCK, MELS), the last one zero-padded, with their time spans.
+TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("values", pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)))])
+SCHEMA = "payload binary, n_frames int, tensors binary, segments array<struct<start_s: double, end_s: double, mean_log_energy: double>>, feature string"
 
 
 def describe(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]], str]:
@@ -150,20 +153,23 @@ def describe(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]], str]:
 
 
 def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), tensors: bool = True) -> DataFrame:
-    """``keep`` columns, the samples read back from the WAVE bytes, and SCHEMA's features. ``tensors=False`` leaves the blocks empty."""
+    """``keep`` columns, the samples read back from the WAVE bytes, and SCHEMA's features. ``tensors=False`` leaves them null; ``tensor_table`` reads them."""
     plain = df.select(*[F.col(c) for c in keep], F.col(media).alias("__media"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), SCHEMA])
     step, width = HOP * DOWN / (RATE * UP), FRAME * DOWN / (RATE * UP)
-    types = {"tensors": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("values", pa.list_(pa.float32()))])), "segments": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_log_energy", pa.float64())]))}
-
-    def blocks(mel: np.ndarray) -> list[dict]:
-        out = []
-        for at in range(0, len(mel), BLOCK):
-            part = mel[at : at + BLOCK]
-            full = np.zeros((BLOCK, MELS), np.float32)
-            full[: len(part)] = part
-            out.append({"start_s": at * step, "end_s": (at + len(part) - 1) * step + width, "frames": len(part), "values": full.ravel()})
-        return out
+    types = {"segments": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_log_energy", pa.float64())]))}
+
+    def blocks(mel: np.ndarray) -> bytes:
+        n = -(-len(mel) // BLOCK)
+        full = np.zeros((n * BLOCK, MELS), np.float32)
+        full[: len(mel)] = mel
+        first = np.arange(n) * BLOCK
+        frames = np.minimum(len(mel) - first, BLOCK)
+        values = pa.ExtensionArray.from_storage(TENSORS.field("values").type, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), BLOCK * MELS))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, TENSORS) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([pa.array(first * step), pa.array((first + frames - 1) * step + width), pa.array(frames.astype(np.int32)), values], schema=TENSORS))
+        return out.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -174,15 +180,14 @@ def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
                     samples = from_wav(m)
                     mel, parts, text = describe(samples)
                     cuts = [{"start_s": s * step, "end_s": (e - 1) * step + width, "mean_log_energy": float(mel[s:e].mean(dtype=np.float64))} for s, e in parts]
-                    for c, v in zip(cols, (samples, len(mel), blocks(mel) if tensors else [], cuts, text), strict=True):
+                    for c, v in zip(cols, (samples, len(mel), blocks(mel) if tensors else None, cuts, text), strict=True):
                         c.append(v)
-                arrays = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], types["tensors"]), pa.array(cols[3], types["segments"]), pa.array(cols[4], pa.string())]
+                arrays = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], types["segments"]), pa.array(cols[4], pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*keep, "payload", "n_frames", "tensors", "segments", "feature"])
 
     return plain.mapInArrow(run, schema)
 
 
-def fixed_tensors(table: pa.Table) -> pa.ExtensionArray:
-    """The exploded ``values`` column of an Arrow table as a FixedShapeTensor array of shape (BLOCK, MELS)."""
-    values = pa.concat_arrays([c.flatten() for c in table.column("values").chunks]).cast(pa.float32())
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)), pa.FixedSizeListArray.from_arrays(values, BLOCK * MELS))
+def tensor_table(data: bytes) -> pa.Table:
+    """The stored tensors of a row: a table of TENSORS."""
+    return pa.ipc.open_stream(data).read_all()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import drop_table, stage_table
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b: long); the component is its smallest id.
 
     Each round links every id to the smallest id near it; large stars and small stars alternate until
-    nothing changes, in a number of rounds that grows with the logarithm of a component's diameter.
+    nothing changes, in a number of rounds that grows with the logarithm of a component's diameter; if ``rounds`` are not enough it raises an error.
     Minima are taken by aggregation and joined back, so that an id with many links is no hot task.
     """
     now = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -30,5 +30,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = now.groupBy("v").agg(F.lit(1)).select(F.col("v").alias("id"), F.col("v").alias("component"))
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(roots)

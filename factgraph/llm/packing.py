@@ -7,8 +7,10 @@ pieces a second time, and best-fits what that displaced, longest first. Between
 migrates to the next. An island stops once it meets the lower bound. Bins with room left are dissolved and
 packed once more across problems, so that each problem does not leave a bin of its own half empty.
 
-Null text counts as empty; an empty text is one piece with the end id. Rows are packed one by one: repeated
-rows are packed as often as they occur, and pieces of equal length are told apart by key, piece and checksum.
+Null text counts as empty; an empty text is one piece with the end id; texts of any length are cut, not shortened.
+Rows are packed one by one: repeated rows are packed as often as they occur, and pieces of equal length are told
+apart by key, piece and checksum. Tokens are those of the plain tokenizer, added tokens in the text included. An
+empty table gives an empty one; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -36,22 +38,18 @@ CACHE = 500_000
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Encoders of this Python worker, kept from task to task.
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids (little-endian uint32 bytes) of whole texts; a word's ids are looked up once and kept, of CACHE words at most."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = None
-        if added_tokens:
-            contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-            self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
-        else:
-            self.tokenizer.encode_special_tokens = True
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -85,22 +83,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder_for(path: str, added_tokens: bool = False) -> WordEncoder:
-    if (path, added_tokens) not in _ENCODERS:
-        _ENCODERS[path, added_tokens] = WordEncoder(path, added_tokens)
-    return _ENCODERS[path, added_tokens]
-
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
-def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
-    """Rows (key, piece, start, length, ids_crc32) of every document, with the ids themselves on request.
 
-    ``added_tokens``: a literal added token of the tokenizer is that one token, as the plain tokenizer has it.
-    """
+def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+    """Rows (key, piece, start, length, ids_crc32) of every document, with the ids themselves on request."""
     plain = docs.select(F.col(key), F.col(text).cast("string").alias("__text"))
     schema = f"`{key}` {plain.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer or default_tokenizer(), added_tokens)
+        encoder = encoder_for(tokenizer or default_tokenizer())
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * size
         for b in batches:
             keys, owner, rows, ids = b.column(0), [], [], []
@@ -259,9 +254,9 @@ def pack_pieces(pieces: DataFrame, key: str, size: int, islands: int, epochs: in
     return dealt.groupBy("problem").cogroup(best.groupBy("problem")).applyInPandas(assign, schema)
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, with_ids: bool = False, slack: int = 24, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, with_ids: bool = False, slack: int = 24) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids on request)."""
-    pieces = stage_table(token_pieces(docs, text, key, tokenizer, size, with_ids, added_tokens), "pieces")
+    pieces = stage_table(token_pieces(docs, text, key, tokenizer, size, with_ids), "pieces")
     columns = pieces.columns
     whole = pieces.where(F.col("length") == size).withColumns({"problem": F.xxhash64(F.col(key), F.col("piece")), "bin": F.lit(-1), "free": F.lit(0)})
     first = stage_table(pack_pieces(pieces.where(F.col("length") < size), key, size, islands, epochs, generations, 1), "packed")

@@ -7,7 +7,7 @@ the number of strata, rules and cutoffs tried (Bonferroni). So with probability
 more than ``risk`` of its good documents. Of the admitted cutoffs the one that rejects most bad documents,
 less ``price`` times the good ones, is taken; without any, the rule does not apply in that stratum.
 
-Null text counts as empty; null strata are the stratum ``und``. Rows are judged one by one, so repeated
+Null text counts as empty; null strata are the stratum ``und``. Every stratum with labels gets its cutoffs. Texts of any length are read whole. Rows are judged one by one, so repeated
 rows and columns of other names change nothing. Only labelled rows with quality 0 or 1 count as labels,
 and of several labels of one document the lowest.
 """
@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ SYMBOLS = b"#*$%&|<>"
 RULES = {"symbols": ("n_symbols", "n_words"), "capitals": ("n_capitals", "n_letters"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "exclaims": ("n_exclaims", "n_words")}
 #: Cutoffs tried: a fixed grid, so that the number of tests does not depend on the data.
 GRID = [round(0.02 * i, 2) for i in range(1, 50)]
-MAX_STRATA = 64
+#: Strata whose cutoffs are broadcast; more are joined.
+SMALL = 100_000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_exclaims"]
 
 
@@ -102,36 +104,35 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float, price:
     return best
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = 0.05, delta: float = 0.05, price: float = 5.0) -> dict[str, dict[str, float]]:
-    """{stratum: {rule: cutoff}}; ``measured`` has key, stratum and FEATURES. Only counts come to the driver, of MAX_STRATA strata at most; rarer strata get no cutoffs."""
+def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = 0.05, delta: float = 0.05, price: float = 5.0) -> DataFrame:
+    """(stratum, cuts map<rule, cutoff>) of every labelled stratum; ``measured`` has key, stratum and FEATURES. A task gets the counts of a stratum, of fixed number."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality"))
-    joined = measured.join(marks, key)
-    large = [r["stratum"] for r in joined.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
     exceeded = [F.least(F.lit(len(GRID)), F.floor((F.col(a) / F.col(b) - F.lit(1e-9)) / F.lit(0.02))) for a, b in RULES.values()]
     steps = F.array(*[F.when(F.col(b) > 0, F.greatest(F.lit(0), e)).otherwise(F.lit(0)).cast("int") for e, (_, b) in zip(exceeded, RULES.values(), strict=True)])
-    counts = joined.where(F.col("stratum").isin(large)).select("stratum", "quality", F.posexplode(steps).alias("rule", "step")).groupBy("stratum", "quality", "rule", "step").count().collect()
-    tables = {s: np.zeros((len(RULES), 2, len(GRID) + 1), np.int64) for s in large}
-    for r in counts:
-        tables[r["stratum"]][r["rule"], int(r["quality"]), r["step"]] += r["count"]
-    level = delta / max(1, len(large) * len(RULES) * len(GRID))
-    out: dict[str, dict[str, float]] = {}
-    for s, t in tables.items():
+    counted = measured.join(marks, key).select("stratum", "quality", F.posexplode(steps).alias("rule", "step")).groupBy("stratum", "quality", "rule", "step").agg(F.count("*").alias("n"))
+    counted = stage_table(counted.select("stratum", F.col("quality").cast("int").alias("quality"), "rule", "step", "n"), "counts")
+    strata = counted.select("stratum").distinct().count()
+    level = delta / max(1, strata * len(RULES) * len(GRID))
+
+    def pick(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        t = np.zeros((len(RULES), 2, len(GRID) + 1), np.int64)
+        np.add.at(t, (frame["rule"], frame["quality"], frame["step"]), frame["n"])
         picked = {name: choose(t[i, 1], t[i, 0], risk / len(RULES), level, price) for i, name in enumerate(RULES)}
-        out[s] = {k: v for k, v in picked.items() if v is not None}
-    return out
+        return pd.DataFrame([(keys[0], v) for v in [[{"rule": k, "cut": c} for k, c in picked.items() if c is not None]]], columns=["stratum", "cuts"])
 
+    chosen = counted.groupBy("stratum").applyInPandas(pick, "stratum string, cuts array<struct<rule: string, cut: double>>")
+    out = stage_table(chosen.select("stratum", F.map_from_entries("cuts").alias("cuts")), "cutoffs")
+    drop_table(counted)
+    return F.broadcast(out) if strata <= SMALL else out
 
-def judge(measured: DataFrame, cuts: dict[str, dict[str, float]], min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+
+def judge(measured: DataFrame, cuts: DataFrame, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """Adds base_failed, failed (names of the rules that reject) and kept."""
-    checks = []
-    for name, (a, b) in RULES.items():
-        hit = F.lit(False)
-        for s, rules in sorted(cuts.items()):
-            if name in rules:
-                hit = hit | ((F.col("stratum") == s) & (F.col(a) / F.col(b) > F.lit(rules[name] + 1e-9)))
-        checks.append(F.when((F.col(b) > 0) & hit, F.lit(name)))
+    cut = lambda name: F.try_element_at(F.col("cuts"), F.lit(name))
+    checks = [F.when((F.col(b) > 0) & (F.col(a) / F.col(b) > cut(name) + F.lit(1e-9)), F.lit(name)) for name, (a, b) in RULES.items()]
     base = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("failed", F.array_join(F.array(*checks), ",")).withColumn("kept", ~F.col("base_failed") & (F.col("failed") == ""))
+    judged = measured.join(cuts, "stratum", "left").withColumn("base_failed", base).withColumn("failed", F.array_join(F.array(*checks), ","))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == "")).drop("cuts")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", **how) -> DataFrame:

@@ -3,7 +3,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from factgraph.llm import audio, entries, html, lattice
 
 def test_resample_equals_convolution():
     x = np.random.default_rng(1).normal(size=997).astype(np.float32)
-    for up, down in ((1, 4), (3, 2), (2, 3), (1, 1)):
+    for up, down in ((1, 4), (3, 8), (3, 2), (2, 3), (1, 1)):
         taps = audio.filter_taps(up, down)
         spread = np.zeros(len(x) * up)
         spread[::up] = x
@@ -36,11 +35,14 @@ def test_media_round_trip(spark):
     for i, t in enumerate(texts):
         want = audio.pad((t or "").encode())
         assert bytes(rows[i]["payload"]) == want == audio.from_wav(bytes(rows[i]["media"])) and bytes(rows[i]["media"]) == audio.to_wav(want)
-        blocks = rows[i]["tensors"]
-        assert sum(b["frames"] for b in blocks) == rows[i]["n_frames"] and all(len(b["values"]) == audio.BLOCK * audio.MELS for b in blocks)
+        blocks = audio.tensor_table(bytes(rows[i]["tensors"]))
+        assert blocks.schema == audio.TENSORS and blocks.column("values").type.shape == [audio.BLOCK, audio.MELS]
+        mel = audio.log_mel(audio.resample((np.frombuffer(want, np.uint8).astype(np.float32) - 128) / 128))
+        stored = np.concatenate([c.to_numpy_ndarray() for c in blocks.column("values").chunks]).reshape(-1, audio.MELS)
+        assert sum(blocks.column("frames").to_pylist()) == rows[i]["n_frames"] == len(mel) and (stored[: len(mel)] == mel).all() and not stored[len(mel) :].any()
+        assert blocks.column("start_s")[0].as_py() == 0 and (np.diff(blocks.column("start_s").to_numpy()) > 0).all()
     assert rows[0]["feature"] == rows[6]["feature"] != rows[3]["feature"]
-    table = pa.table({"values": [b["values"] for b in rows[5]["tensors"]]})
-    assert audio.fixed_tensors(table).type.shape == [audio.BLOCK, audio.MELS]
+    assert audio.tensor_table(bytes(rows[5]["tensors"])).num_rows > 1
     assert audio.audio_features(audio.encode_wav(data.limit(0), "data")).count() == 0
 
 

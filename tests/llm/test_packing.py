@@ -21,7 +21,6 @@ def test_pieces_and_bins(spark):
     docs = [(i, TEXTS[i % len(TEXTS)], "x") for i in range(60)]
     rows = pack(spark.createDataFrame(docs, "doc_id long, text string, sequence_id string"), with_ids=True).collect()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = {}
     for i, text, _ in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
