@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of ``documents``. ``run`` writes each stage's result as Parquet and reads it again for the next.
+
+Null and empty texts fail the base rules and go in the first stage; texts of any length are read whole. Repeated
+rows are judged alike and stay or go together until near duplicates, where all rows of the one document that
+stays of a group stay. Null doc_ids are documents of their own there. Empty tables pass through all stages. Without
+labels only the base rules reject; without any known language no document is rejected for its language. Columns
+besides those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -24,13 +30,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rejected as none of the learned languages go."""
     model = langid.train(docs.where(fold("doc_id", 3) != 1))
+    if model is None:  # nothing to tell languages by
+        return docs.select(*COLUMNS)
     return langid.identify(docs, model, keep=tuple(COLUMNS)).where("not rejected").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingles the one of smallest doc_id stays."""
     groups = ngram_join.ngram_groups(docs)
-    return docs.join(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    gone = groups.where("id <> component").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, added_tokens=True)
+    return packing.pack(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near duplicates", near_duplicates), ("suffix-array dedup", repeated_passages), ("best-fit packing", pack_sequences)]
