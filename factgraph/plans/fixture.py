@@ -166,14 +166,14 @@ service.Server.Handle | service.Server.Handle.$closure_return_0 | return_handler
 DIAGNOSTICS = """
 app.py | unresolved_import | u.work
 app.py | unsupported_construct | run()
-main.go | nonliteral_path | e.POST(name, list)
+main.go | boundary_nonliteral_path | e.POST(name, list)
 src/index.js | ambiguous_relation | missing.call
 src/index.js | unresolved_import | ext
 """
 BOUNDARIES = """
 gin | DELETE | /v1/x/all | main.list | g.DELETE("/all", h)
 gin | GET | /v1/users | main.list | v1.GET("/users", list)
-net/http | ANY | /ping | main.ping | http.HandleFunc("/ping", ping)
+net/http | ANY | /ping | ping | http.HandleFunc("/ping", ping)
 """
 SERVICES = """
 svc | svc | svc/main.go | grpc | service

@@ -140,7 +140,7 @@ def build(files: DataFrame, extractors: dict | None = None) -> Index:
     resolved, ambiguous = resolve_targets(calls.where("category is null"), symbols, exports)
     target = by_ordinal.select("repository_id", "path", F.col("symbol").alias("target"), F.col("source_symbol_id").alias("target_symbol_id"))
     hints = exploded(raw, "hints").join(by_ordinal, [*KEY, "symbol"]).join(target, [*KEY, "target"], "left").join(file_ids, KEY)
-    boundaries, route_notes = detect_routes(files, packages)
+    boundaries, route_notes = detect_routes(files, packages, bindings.where("language = 'go'").select(*KEY, "alias"))
     tables = {
         "files": all_files,
         "symbols": symbols.select("id", "repository_id", "file_id", "file_path", "canonical_name", "name", "receiver", "kind", "signature", "start_line", "start_col", "end_line", "end_col", "start_byte", "end_byte"),

@@ -42,7 +42,7 @@ def test_snapshot_tables(spark, snapshot):
     by_id = {r["id"]: n for n, r in names.items()}
     edges = {(by_id[r["source_symbol_id"]], by_id.get(r["target_symbol_id"], r["target_canonical_name"])) for r in load("call_candidates").collect()}
     assert {("service.Handle", "service.stepOne"), ("service.Handle", "helper.Transform"), ("service.TestHandle", "service.Handle"), ("src.main", "src.lib.go"), ("app.run", "pkg.util.work")} <= edges
-    assert [(r["framework"], r["method"], r["path"], r["handler_target"]) for r in load("boundaries").collect()] == [("net/http", "ANY", "/ping", "main.ping")]
+    assert [(r["framework"], r["method"], r["path"], r["handler_target"]) for r in load("boundaries").collect()] == [("net/http", "ANY", "/ping", "ping")]
     assert {(r["name"], r["role"]) for r in load("repositories").collect()} == {("svc", "service"), ("web", "service")}
     assert {r["name"] for r in load("services").collect()} == {"svc", "web"}
     assert [r["canonical_name"] for r in load("tests").collect()] == ["service.TestHandle"]

@@ -1,8 +1,10 @@
+from factgraph.operators.staging import staged
+from factgraph.plans import index
 from factgraph.sources.facts_go import go_facts
 from factgraph.sources.facts_js import js_facts
 from factgraph.sources.facts_python import import_candidates, python_facts
 from factgraph.sources.go_syntax import parse
-from factgraph.sources.routes_go import package_routes
+from factgraph.sources.routes_go import Handler, package_providers, package_routes
 
 GO = b"""package service
 import h "example.com/x/helper"
@@ -105,7 +107,121 @@ func register(g *gin.RouterGroup, h gin.HandlerFunc) { g.DELETE("//all", h); g.P
 def test_routes():
     found = package_routes([("api/a.go", ROUTES)])
     assert [(r["detector"], r["method"], r["path"], r["handler_target"]) for r in found if not r["category"]] == [
-        ("gin", "GET", "/api/v1/users", "api.S.list"), ("gin", "POST", "/api/v1/x", "api.S.Routes.$inline_handler_0"), ("gin", "DELETE", "/api/v1/all", "api.listAll"),
-        ("nethttp", "ANY", "/ping", "api.ping"), ("nethttp", "ANY", "/top", "example.com/h.Serve"), ("gateway", "PROXY", "RegisterEchoHandler", "example.com/pb.RegisterEchoHandler"),
+        ("gin", "GET", "/api/v1/users", "api.S.list"), ("gin", "POST", "/api/v1/x/", "api.S.Routes.$inline_handler_0"), ("gin", "DELETE", "/api/v1//all", "api.listAll"),
+        ("nethttp", "ANY", "/ping", "ping"), ("nethttp", "ANY", "/top", "h.Serve"), ("gateway", "PROXY", "RegisterEchoHandler", "RegisterEchoHandler"),
     ]
-    assert sorted(r["category"] for r in found if r["category"]) == ["nonliteral_path", "unproven_receiver"]
+    assert sorted(r["category"] for r in found if r["category"]) == ["boundary_nonliteral_path", "boundary_unproven_receiver"]
+
+
+def routes(*files, imported=None):
+    found = package_routes([(p, s.encode()) for p, s in files], imported)
+    return {f"{r['method']} {r['path']}": r["handler_target"] for r in found if not r["category"]}, sorted(r["category"] for r in found if r["category"])
+
+
+def test_routes_over_files_through_accessors_and_aliases():
+    server = 'package web\nimport "github.com/gin-gonic/gin"\ntype app struct { e *gin.Engine }\nfunc build() *app { e := gin.Default(); return &app{e: e} }\nfunc (a *app) Root() *gin.Engine { return a.e }\n'
+    router = """package web
+import ("github.com/gin-gonic/gin"; "example.com/metrics")
+type pages struct{}
+func (pages) Show(*gin.Context) {}
+func (pages) Make() gin.HandlerFunc { return func(c *gin.Context) {} }
+func (a *app) wire() {
+  root := a.Root()
+  root.GET("/up", func(c *gin.Context) {})
+  root.GET("/metrics", gin.WrapH(metrics.Handler()))
+  one := root
+  two := one
+  g := one.Group("/a").Group("b")
+  p := pages{}
+  g.GET("/show", p.Show)
+  g.POST("/make", p.Make())
+  two.GET("/lost", p.Show)
+  a.other().GET("/x", p.Show)
+}
+"""
+    got, notes = routes(("s.go", server), ("r.go", router))
+    assert got == {"GET /up": "web.app.wire.$inline_handler_0", "GET /metrics": "", "GET /a/b/show": "web.pages.Show", "POST /a/b/make": "web.pages.Make"}
+    assert notes == ["boundary_unproven_receiver", "boundary_unresolved_handler_target", "boundary_unsupported_accessor_pattern"]
+
+
+def test_handlers_of_other_packages_and_deep_providers():
+    router = """package web
+import ("github.com/gin-gonic/gin"; "example.com/cams"; "example.com/wrap")
+type shower interface { Show(*gin.Context) }
+func first() shower { return cams.NewCams() }
+func second() shower { return first() }
+func wire() {
+  e := gin.New()
+  a := cams.NewCams()
+  b := a
+  c := b
+  d, f, g, h := first(), second(), wrap.Cameras(), wrap.Other()
+  e.GET("/a", a.Show)
+  e.GET("/b", b.Show)
+  e.GET("/c", c.Show)
+  e.GET("/d", d.Show())
+  e.GET("/f", f.Show())
+  e.GET("/g", g.Show)
+  e.GET("/h", h.Show)
+  e.Any("/any", cams.Free)
+}
+"""
+    got, notes = routes(("r.go", router), imported={("wrap", "Cameras"): Handler("inner")})
+    assert got == {"GET /a": "cams.Show", "GET /b": "cams.Show", "GET /c": "", "GET /d": "cams.Show", "GET /f": "", "GET /g": "inner.Show", "GET /h": "", "Any /any": ""}
+    assert notes == ["boundary_unresolved_handler_target"] * 4
+    wrap = 'package wrap\nimport in "example.com/wrap/inner"\ntype T struct{}\nfunc Cameras() X { return in.NewCams() }\nfunc Own() *T { return &T{} }\nfunc (t *T) M() *T { return &T{} }\nfunc Deep() *T { return Own() }\n'
+    assert package_providers([("wrap/w.go", wrap.encode())]) == [("wrap", "Cameras", "in", ""), ("wrap", "Own", "wrap", "T")]
+
+
+def test_mux_fields_by_their_declared_type():
+    source = """package web
+import ("net/http"; gw "github.com/grpc-ecosystem/grpc-gateway/v2/runtime")
+type ServeMux struct{}
+type mine struct { mux *ServeMux }
+type server struct { mux, spare *http.ServeMux; gate *gw.ServeMux }
+func made() http.HandlerFunc { return nil }
+func (s *server) wire(ctx C) error {
+  s.mux.HandleFunc("/field", list)
+  s.spare.Handle("/spare", made())
+  m := http.NewServeMux()
+  n := m
+  n.HandleFunc("/alias", pkg.list)
+  l := mine{}
+  l.mux.HandleFunc("/shadow", list)
+  RegisterOneHandler(ctx, s.gate)
+  go RegisterTwoHandlerFromEndpoint(ctx, s.gate, "x")
+  RegisterThreeHandler(ctx, s.mux)
+  RegisterFourHandler(ctx)
+  var err = RegisterFiveHandler(ctx, s.gate)
+  return RegisterSixHandler(ctx, s.gate)
+}
+"""
+    got, notes = routes(("s.go", source))
+    assert got == {"ANY /field": "list", "ANY /spare": "made", "ANY /alias": "pkg.list", **{f"PROXY Register{n}": f"Register{n}" for n in ("OneHandler", "TwoHandlerFromEndpoint", "FiveHandler", "SixHandler")}}
+    assert notes == ["boundary_insufficient_args", "boundary_unproven_receiver", "boundary_unproven_receiver"]
+
+
+def test_helpers_take_routers_and_handlers():
+    source = """package web
+import ("github.com/gin-gonic/gin"; h "example.com/handler")
+func root(r *gin.Engine) { v := r.Group("/s/v1"); inner(v) }
+func inner(g gin.IRoutes) { x := h.NewHandler(); g.POST("/p", x.Predict); deep(g, x) }
+func deep(g gin.IRoutes, x h.Handler) { g.GET("/d", x.Show); inner(g) }
+func main() { e := gin.New(); root(e); root(e) }
+"""
+    got, notes = routes(("m.go", source))
+    assert got == {"POST /s/v1/p": "h.Predict", "GET /s/v1/d": "h.Show"} and notes == []
+
+
+def test_providers_of_other_packages_where_all_agree(spark):
+    tree = {
+        "r/go.mod": "module example.com/r\n",
+        "r/web/web.go": 'package web\nimport ("github.com/gin-gonic/gin"; "example.com/r/cam"; "example.com/r/two")\nfunc wire() { e := gin.New(); a := cam.Get(); b := two.Get(); e.GET("/a", a.Show); e.GET("/b", b.Show) }\n',
+        "r/cam/cam.go": 'package cam\nimport "example.com/r/inner"\nfunc Get() X { return inner.NewX() }\n',
+        "r/x/two/two.go": 'package two\nimport "example.com/r/inner"\nfunc Get() X { return inner.NewX() }\n',
+        "r/y/two/two.go": 'package two\nimport "example.com/r/other"\nfunc Get() X { return other.NewX() }\n',
+    }
+    files = spark.createDataFrame([(p, t.encode()) for p, t in tree.items()], "relative_path string, content binary")
+    built = index.index_workspace(staged(files, "tree"), "2024-01-01T00:00:00")
+    assert {(r["path"], r["handler_target"]) for r in built["boundaries"].collect()} == {("/a", "inner.Show"), ("/b", "")}
+    assert [r["category"] for r in built["diagnostics"].where("category like 'boundary%'").collect()] == ["boundary_unresolved_handler_target"]
