@@ -38,10 +38,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = lattice.encode(docs, keep=("doc_id", "text"))
-    back = lattice.decode(coded.select("doc_id", F.col("text").alias("source"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids"))
-    return back.select("doc_id", "n_pieces", "ids_hash", (F.coalesce("source", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    coded = lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), checked=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

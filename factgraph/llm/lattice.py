@@ -33,7 +33,7 @@ from factgraph.llm.common import _tables, drop_table, mix, stage_table
 
 MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 150_000
 #: Characters of words that are folded side by side, slots of the filter before the piece table, documents handled at once, and words counted before they are sent.
-AT_ONCE, FILTER, ROWS, COUNTED = 48, 1 << 21, 256, 100_000
+AT_ONCE, FILTER, ROWS, COUNTED = 48, 1 << 21, 256, 300_000
 WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
 
 
@@ -242,8 +242,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """``keep`` columns and ids of every row."""
+def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, dictionary: int = DICTIONARY, checked: bool = False) -> DataFrame:
+    """``keep`` columns and ids of every row; with ``checked`` also round_trip, whether decoding gives the text back (null counts as empty)."""
     spark = docs.sparkSession
     path = path or default_path()
     frequent = stage_table(count_words(docs, text).orderBy(F.desc("count"), "word").limit(dictionary).select("word"), "words")
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     drop_table(frequent)
     sent = spark.sparkContext.broadcast(table)
     plain = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>", *(["round_trip boolean"] if checked else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fold = sent.value, folder(path)
@@ -261,7 +261,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 rare = fold.rare
                 if len(rare) > RARE:
                     rare.clear()
-                texts = [words_of(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+                whole = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+                texts = list(map(words_of, whole))
                 new = list({w for words in texts for w in words if w not in known and w not in rare})
                 long: dict[str, bytes] = {}
                 for w, ids in zip(new, fold.many(new), strict=True):
@@ -272,11 +273,28 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                     parts.append(part)
                     offsets.append(offsets[-1] + len(part) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*keep, "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                back = [pa.array([x == t for x, t in zip(spell(ids, path), whole, strict=True)], pa.bool_())] if checked else []
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *back], names=[*keep, "ids", *(["round_trip"] if checked else [])])
 
     return plain.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=4)
+def spellings(path: str) -> np.ndarray:
+    """The bytes of every id."""
+    _, byte0, _, texts = piece_table(path)
+    return np.array([bytes([i - byte0]) if byte0 <= i < byte0 + 256 else t.replace(MARK, " ").encode() for i, t in enumerate(texts)], dtype=object)
+
+
+def spell(ids: pa.ListArray, path: str) -> list[str]:
+    """The text of each list of ids; a null list is empty."""
+    lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    words = spellings(path)[ids.flatten().to_numpy()]
+    return [b"".join(words[e - n : e].tolist()).decode("utf-8", "replace")[1:] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Replaces ``ids`` by the text that they spell; null ids are an empty text."""
     path = path or default_path()
@@ -285,17 +303,10 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), f"`{out}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, byte0, _, texts = piece_table(path)
-        spelled = np.array([bytes([i - byte0]) if byte0 <= i < byte0 + 256 else t.replace(MARK, " ").encode() for i, t in enumerate(texts)], dtype=object)
         for big in batches:
-            for at in range(0, big.num_rows, 128):
-                b = big.slice(at, 128)
-                column = b.column(b.num_columns - 1)
-                lengths = column.value_lengths().fill_null(0).to_numpy()
-                ends = np.cumsum(lengths)
-                words = spelled[column.flatten().to_numpy()]
-                found = [b"".join(words[e - n : e].tolist()).decode("utf-8", "replace")[1:] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], names=[*others, out])
+            for at in range(0, big.num_rows, ROWS):
+                b = big.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spell(b.column(b.num_columns - 1), path), pa.string())], names=[*others, out])
 
     return plain.mapInArrow(run, schema)
 

@@ -178,6 +178,7 @@ def test_encode_decode_round_trip(spark):
     assert rows == {i: t or "" for i, t in enumerate(texts)}
     assert lattice.encode(df.unionByName(df), dictionary=5).count() == 2 * len(texts)  # repeated rows, each once more
     assert lattice.encode(df.limit(0)).count() == 0
+    assert all(r["round_trip"] for r in lattice.encode(df, dictionary=5, checked=True).collect())
 
 
 def test_main_text_keeps_the_whole_article():
