@@ -116,7 +116,7 @@ def node_key(id_: Column, canonical: Column) -> Column:
     return F.when((id_ != "") & (F.octet_length(id_) <= 64), id_).otherwise(F.concat(canonical, F.lit("_"), rolling_hash(canonical)))
 
 
-def rationale(c: Column, default: str = "no rationale recorded") -> Column:
+def rationale(c: Column, default: str = "no rationale provided") -> Column:
     return F.when(trim_all(F.coalesce(c, F.lit(""))) == "", F.lit(default)).otherwise(c)
 
 

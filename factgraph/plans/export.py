@@ -21,14 +21,17 @@ def key_of(id_: str, canonical: str) -> str:
     return id_ if id_ and len(id_.encode()) <= 64 else f"{canonical}_{rolling_hash(canonical)}"
 
 
-def markdown(root: str, steps: list[dict[str, Any]], notes: list[str]) -> str:
+#: Fixed value: what stands for a blank rationale.
+NO_RATIONALE = "no rationale provided"
+
+
+def markdown(root: str, steps: list[dict[str, Any]], notes: list[str], id_: str = "") -> str:
     counts = Counter(s["status"] for s in steps)
-    lines = [f"# Review flow: {root}", "", f"- accepted: {counts['accepted']}", f"- ambiguous: {counts['ambiguous']}", f"- rejected: {counts['rejected']}", "", "## Accepted steps", ""]
-    for s in steps:
-        if s["status"] == "accepted":
-            lines.append(f"- `{s['from_canonical_name']}` -> `{s['to_canonical_name']}`: {(s['rationale'] or '').strip() or 'no rationale recorded'}")
-    lines += ["", "## Uncertainty", "", *(f"- {n}" for n in notes)]
-    return "\n".join(lines) + "\n"
+    lines = ["# Flow Review", "", f"- root: `{root}`", f"- review_id: `{id_}`", *(f"- {k}: `{counts[k]}`" for k in ("accepted", "ambiguous", "rejected")), "", "## Accepted Steps", ""]
+    lines += [f"- `{s['from_canonical_name']}` -> `{s['to_canonical_name']}`: {(s.get('rationale') or '').strip() or NO_RATIONALE}" for s in steps if s["status"] == "accepted"] or ["- none"]
+    if notes:
+        lines += ["", "## Uncertainty Notes", "", *(f"- {n}" for n in notes)]
+    return "\n".join(lines) + "\n\n"
 
 
 def label_of(canonical: str) -> str:
@@ -50,7 +53,7 @@ def mermaid(root: str, steps: list[dict[str, Any]]) -> str:
     lines = ["sequenceDiagram", *(f"    participant {x}" for x in sorted(labels.values()))]
     for s in accepted:
         a, b = labels[key_of(s["from_symbol_id"], s["from_canonical_name"])], labels[key_of(s["to_symbol_id"], s["to_canonical_name"])]
-        lines.append(f"    {a}->>{b}: {quoted((s['rationale'] or '').strip() or 'calls')}")
+        lines.append(f"    {a}->>{b}: {quoted((s.get('rationale') or '').strip() or 'calls')}")
     return "\n".join(lines) + "\n"
 
 
@@ -62,5 +65,5 @@ def graph_json(root_id: str, root: str, steps: list[dict[str, Any]]) -> dict[str
             a, b = key_of(s["from_symbol_id"], s["from_canonical_name"]), key_of(s["to_symbol_id"], s["to_canonical_name"])
             nodes.setdefault(a, short(s["from_canonical_name"]))
             nodes.setdefault(b, short(s["to_canonical_name"]))
-            edges.append({"source": a, "target": b, "label": (s["rationale"] or "").strip() or "calls"})
+            edges.append({"source": a, "target": b, "label": (s.get("rationale") or "").strip() or "calls"})
     return {"nodes": [{"id": k, "label": nodes[k]} for k in sorted(nodes)], "edges": edges}

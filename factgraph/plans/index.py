@@ -21,6 +21,7 @@ from factgraph.sources import scan
 from factgraph.sources.scan import folder
 
 KEY = ["repository_id", "path"]
+RESOLUTION = "call target has no single owner"
 
 
 @dataclass
@@ -118,7 +119,7 @@ def resolve_targets(calls: DataFrame, symbols: DataFrame, exports: DataFrame) ->
     out = calls.join(by_export, "id", "left").withColumn("target_symbol_id", F.coalesce("by_name", "by_export", F.lit("")))
     out = resolve.back_fill(out, "target_file_path", symbols, "target_symbol_id", "id", "file_path")
     ambiguous = out.where("n2 is not null and by_export is null")
-    notes = ambiguous.select(S.stable_id("diag", F.lit("resolution"), F.col("id")).alias("id"), F.col("path").alias("file_path"), F.col("source_symbol_id").alias("symbol_id"), F.lit("ambiguous_relation").alias("category"), F.lit("call target has no single owner").alias("message"), F.col("evidence_source").alias("evidence"))
+    notes = ambiguous.select(S.stable_id("diag", F.lit("resolution"), F.col("id")).alias("id"), F.col("path").alias("file_path"), F.col("source_symbol_id").alias("symbol_id"), F.lit("ambiguous_relation").alias("category"), F.lit(RESOLUTION).alias("message"), F.col("evidence_source").alias("evidence"))
     return out, notes
 
 
@@ -155,22 +156,46 @@ def build(files: DataFrame, extractors: dict | None = None) -> Index:
     return Index(tables)
 
 
-def index_workspace(files: DataFrame, generated_at: str) -> Index:
-    """All fact tables of a scanned workspace (relative_path, content): repositories and services too, and the counts of the run."""
+def repository_id() -> Column:
+    return F.concat(F.lit("repo_"), F.coalesce(F.nullif(F.col("root"), F.lit("")), F.lit(".")))
+
+
+def repositories(placed: DataFrame) -> DataFrame:
+    """One row per repository of files with their root: name, role, languages, build files and frameworks."""
+    counted = scan.services(placed).groupBy("root").agg(F.count("*").alias("n"))
+    name = F.coalesce(F.nullif(F.substring_index("root", "/", -1), F.lit("")), F.lit("workspace"))
+    return scan.technology(placed).join(counted, "root", "left").select(repository_id().alias("id"), name.alias("name"), F.col("root").alias("root_path"), S.repo_role(F.coalesce("n", F.lit(0)), F.col("languages"), F.col("build_files")).alias("role"), "languages", "build_files", "frameworks")
+
+
+def boundary_hints(placed: DataFrame) -> DataFrame:
+    """(root, boundary_hints): the boundary types that a repository's paths hint at, sorted."""
+    return placed.select("root", S.boundary_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
+
+
+def index_workspace(files: DataFrame, generated_at: str, workspace_root: str = "", skipped: int = 0) -> Index:
+    """All fact tables of a scanned workspace (relative_path, content): repositories and services too, and the counts of the run.
+
+    Paths are absolute below ``workspace_root``; ``skipped`` counts the entries that the scan left out.
+    """
     roots = scan.repository_roots(files)
     placed = scan.assign_repository(files, roots)
-    repository = F.concat(F.lit("repo_"), F.coalesce(F.nullif(F.col("root"), F.lit("")), F.lit(".")))
+    repository = repository_id()
     inside = F.when(F.col("root") == "", F.col("relative_path")).otherwise(F.expr("substring(relative_path, length(root) + 2)"))
     language = F.coalesce(S.language_of(F.col("relative_path")), F.when(S.file_bucket(F.col("relative_path")).isin("javascript", "typescript"), S.file_bucket(F.col("relative_path"))), F.lit(""))
     table = placed.select(repository.alias("repository_id"), F.col("root").alias("repository_root"), inside.alias("path"), language.alias("language"), "content")
     out = build(table)
-    tech, services = scan.technology(placed), scan.services(placed)
-    counted = services.groupBy("root").agg(F.count("*").alias("n"))
-    out.tables["repositories"] = tech.join(counted, "root", "left").select(repository.alias("id"), F.coalesce(F.nullif(F.substring_index("root", "/", -1), F.lit("")), F.lit("workspace")).alias("name"), F.col("root").alias("root_path"), S.repo_role(F.coalesce("n", F.lit(0)), F.col("languages"), F.col("build_files")).alias("role"), "languages", "build_files", "frameworks")
-    hints = placed.select("root", S.boundary_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
-    out.tables["services"] = services.join(hints, "root", "left").select(S.stable_id("svc", F.col("root"), F.col("service_root"), F.col("name")).alias("id"), repository.alias("repository_id"), "name", F.col("service_root").alias("root_path"), "entrypoints", "boundary_hints")
+    if workspace_root:
+        out.tables["files"] = out["files"].withColumn("absolute_path", F.concat(F.lit(workspace_root.rstrip("/") + "/"), "absolute_path"))
+    out.tables["repositories"] = repositories(placed)
+    out.tables["services"] = scan.services(placed).join(boundary_hints(placed), "root", "left").select(S.stable_id("svc", F.col("root"), F.col("service_root"), F.col("name")).alias("id"), repository.alias("repository_id"), "name", F.col("service_root").alias("root_path"), "entrypoints", "boundary_hints")
     count = lambda name, column: out[name].agg(F.count("*").alias(column))
-    issues = out["diagnostics"].agg(F.count_if(F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("deferred"), F.count_if(~F.col("category").isin("boundary_detection", "ambiguous_relation")).alias("ambiguous"))
+    category, boundary = F.col("category"), F.startswith("id", F.lit("bd_"))
+    deferred = boundary & category.isin("boundary_detection", "ambiguous_relation")
+    resolution = F.col("message") == RESOLUTION
+    issues = out["diagnostics"].agg(
+        F.lit(skipped).cast("long").alias("skipped_ignored_files"), F.lit(0).cast("long").alias("service_attribution_ambiguities"), F.lit(0).cast("long").alias("unresolved_imports"),
+        F.count_if((boundary & ~deferred) | resolution).alias("ambiguous_relations"), F.lit(0).cast("long").alias("unsupported_constructs"), F.count_if(deferred).alias("deferred_boundary_stitching"),
+    )
     run = count("repositories", "repository_count").crossJoin(count("files", "file_count")).crossJoin(count("symbols", "symbol_count")).crossJoin(count("call_candidates", "call_candidate_count")).crossJoin(issues)  # one row each
     out.tables["index_runs"] = run.withColumn("generated_at", F.lit(generated_at).cast("timestamp"))
     return out

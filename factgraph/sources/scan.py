@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,7 @@ class IgnorePolicy:
     def __init__(self, patterns: list[str] = ()):
         cleaned = (p.strip().removeprefix("./").strip("/") for p in patterns)
         self.patterns = sorted({p for p in cleaned if p})
+        self.signature = "ignore_" + hashlib.sha1("|".join(self.patterns).strip().encode() + bytes(1)).hexdigest()[:12]
 
     def ignores(self, path: Column) -> Column:
         out = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in DEFAULT_IGNORED]))
@@ -47,13 +49,34 @@ class IgnorePolicy:
         return out
 
 
+def list_workspace(spark: SparkSession, root: str) -> DataFrame:
+    """(full_path, relative_path) of every file below ``root``; no content is read."""
+    base = re.escape(root.rstrip("/").removeprefix("file:").lstrip("/"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full_path"))
+    return files.withColumn("relative_path", F.regexp_replace("full_path", f"^[a-z]+:/+{base}/", ""))
+
+
 def read_workspace(spark: SparkSession, root: str, policy: IgnorePolicy | None = None) -> DataFrame:
-    """(relative_path, content) of every file below ``root`` that the policy admits."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(relative_path, content) of every file below ``root`` that the policy admits; ignored files are listed but not read."""
+    listing = list_workspace(spark, root)
+    admitted = [r["full_path"] for r in listing.where(~(policy or IgnorePolicy()).ignores(F.col("relative_path"))).select("full_path").collect()]  # the driver holds the listing anyway
+    if not admitted:
+        return spark.createDataFrame([], "relative_path string, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(admitted)
     base = re.escape(root.rstrip("/").removeprefix("file:").lstrip("/"))
-    path = F.regexp_replace(F.col("path"), f"^[a-z]+:/+{base}/", "")
-    out = files.select(path.alias("relative_path"), "content")
-    return out.where(~(policy or IgnorePolicy()).ignores(F.col("relative_path")))
+    return files.select(F.regexp_replace("path", f"^[a-z]+:/+{base}/", "").alias("relative_path"), "content")
+
+
+def above(path: Column) -> Column:
+    """The folders above a path, the workspace first as '', then each below it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def skipped(listing: DataFrame, policy: IgnorePolicy) -> DataFrame:
+    """(entry) of every entry that a walk skips: the topmost ignored folder or file of each ignored file. A folder counts once, whatever it holds."""
+    entries = listing.select("relative_path", F.posexplode(F.array_append(above(F.col("relative_path")), F.col("relative_path"))).alias("n", "entry")).where("entry <> ''")
+    return entries.where(policy.ignores(F.col("entry"))).groupBy("relative_path").agg(F.min_by("entry", "n").alias("entry")).select("entry").distinct()
 
 
 def folder(path: Column) -> Column:
@@ -70,9 +93,7 @@ def repository_roots(files: DataFrame) -> DataFrame:
 
 def assign_repository(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds root: the deepest repository folder above each file. A file meets only the folders on its own path."""
-    parts = F.split("relative_path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hit = files.select("relative_path", F.explode(above).alias("root")).join(roots, "root").groupBy("relative_path").agg(F.max_by("root", F.length("root")).alias("root"))
+    hit = files.select("relative_path", F.explode(above(F.col("relative_path"))).alias("root")).join(roots, "root").groupBy("relative_path").agg(F.max_by("root", F.length("root")).alias("root"))
     return files.join(hit, "relative_path")
 
 
@@ -93,3 +114,10 @@ def services(files: DataFrame) -> DataFrame:
     entry = base.isin("main.go", "main.py", "app.py", "server.js", "server.ts") | F.regexp_like(path, F.lit("(^|/)src/(index|main)\\.ts$")) | F.when(base == "package.json", F.coalesce(starts, F.lit(False))).otherwise(F.lit(False))
     grouped = files.where(entry).groupBy("root", folder(path).alias("service_root")).agg(F.array_sort(F.collect_set("relative_path")).alias("entrypoints"))
     return grouped.withColumn("name", F.coalesce(F.nullif(F.substring_index("service_root", "/", -1), F.lit("")), F.nullif(F.substring_index("root", "/", -1), F.lit("")), F.lit("workspace")))
+
+
+def extraction_plans(files: DataFrame) -> DataFrame:
+    """(root, language, files): the sorted files of each language that has an extractor."""
+    path = F.col("relative_path")
+    language = F.when(S.file_bucket(path).isin("go", "python", "javascript", "typescript"), S.file_bucket(path))
+    return files.select("root", language.alias("language"), path).where("language is not null").groupBy("root", "language").agg(F.array_sort(F.collect_list("relative_path")).alias("files"))
