@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import scalars as S
 from factgraph.operators import dedup, graph, ordering, resolve
-from factgraph.plans import fixture, index, review
+from factgraph.plans import fixture, index, review, scenarios
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -533,3 +533,7 @@ def fact_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fixture.rows_sql("path, language, package_name, bucket", fixture.FILES))
 def fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark)["files"].select(F.col("relative_path").alias("path"), "language", "package_name", F.coalesce(S.file_bucket(F.col("relative_path")), F.lit("")).alias("bucket"))
+
+
+QUERIES |= scenarios.QUERIES
+ORACLE_SQL |= scenarios.ORACLE_SQL

@@ -157,8 +157,8 @@ def js_facts(path: str, source: bytes) -> dict:
         while depth_end < len(s.toks) and s.v(depth_end) not in (";", ",", ")", "}", "]"):
             if s.v(depth_end) in ("(", "[", "{"):
                 depth_end = s.close(depth_end)
-            elif depth_end > j and s.text[s.toks[depth_end - 1][3] : s.toks[depth_end][2]].count("\n") and s.toks[depth_end][0] != "op" and s.toks[depth_end - 1][0] != "op":
-                break
+            elif depth_end > j and s.text[s.toks[depth_end - 1][3] : s.toks[depth_end][2]].count("\n") and s.toks[depth_end][0] != "op" and (s.toks[depth_end - 1][0] != "op" or s.v(depth_end - 1) in (")", "]", "}")):
+                break  # a line that can't go on ends the statement
             depth_end += 1
         return j, depth_end - 1
 
