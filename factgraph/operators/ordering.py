@@ -28,5 +28,5 @@ def tightest(rows: DataFrame, scopes: DataFrame, on: list[str], point: str, star
 
 
 def neighbours(edges: DataFrame, key: str, order: list[str], shown: Column, out: str) -> DataFrame:
-    """Per key a joined string of its edges in order."""
-    return edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, shown.alias("__s")))).alias("__l")).select(key, F.array_join(F.transform("__l", lambda x: x["__s"]), ",").alias(out))
+    """(key, position, ``out``): the edges of each node in order, one row each. A node's edges are sorted, never gathered into one value, so that a hot node spills rather than fails."""
+    return ordinal(edges.select(key, *order, shown.alias(out)), [key], [*order, out], "position").select(key, "position", out)

@@ -225,16 +225,16 @@ def tightest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.tightest(e, scopes, ["user_id"], "event_id", "lo", "hi", "event_id", "scope")
 
 
-@query("SELECT l_orderkey AS source, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS outgoing FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS position, l_partkey AS outgoing FROM lineitem")
 def outgoing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "source")
-    return ordering.neighbours(l, "source", ["l_linenumber", "l_partkey"], F.col("l_partkey").cast("string"), "outgoing")
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), "l_linenumber", "l_partkey")
+    return ordering.neighbours(l, "source", ["l_linenumber"], F.col("l_partkey"), "outgoing")
 
 
-@query("SELECT l_partkey AS target, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_linenumber, l_orderkey) AS incoming FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS target, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey) - 1 AS position, l_orderkey AS incoming FROM lineitem")
 def incoming_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "target")
-    return ordering.neighbours(l, "target", ["l_linenumber", "l_orderkey"], F.col("l_orderkey").cast("string"), "incoming")
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("target"), "l_linenumber", "l_orderkey")
+    return ordering.neighbours(l, "target", ["l_linenumber"], F.col("l_orderkey"), "incoming")
 
 
 @query("""
