@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences by a grouping genetic algorithm.
 
 Documents are tokenized (an end id follows each), cut into pieces of at most ``size`` tokens, and the
-pieces dealt by hash into problems of about ``GROUP`` pieces. Each problem is evolved on several islands:
-a crossover copies whole well-filled bins of one parent into the other, removes the bins that hold the same
+pieces dealt by hash into problems of about ``GROUP`` pieces. Each problem is evolved on several islands, of
+which the first is founded greedily (best fit, longest first) and the others at random; a crossover copies whole well-filled bins of one parent into the other, removes the bins that hold the same
 pieces a second time, and best-fits what that displaced, longest first. Between epochs each island's elite
 migrates to the next. An island stops once it meets the lower bound. Bins with room left are dissolved and
 packed once more across problems, so that each problem does not leave a bin of its own half empty.
@@ -168,16 +168,20 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], size:
     return bins
 
 
-def evolve(lengths: list[int], population: list[list[list[int]]], size: int, generations: int, rng: np.random.Generator) -> list[list[list[int]]]:
-    """The population after some generations, best first; ends early at the lower bound."""
+def evolve(lengths: list[int], population: list[list[list[int]]], size: int, generations: int, rng: np.random.Generator, greedy: bool = True) -> list[list[list[int]]]:
+    """The population after some generations, best first; ends early at the lower bound.
+
+    An empty population is founded: with ``greedy`` by best fit in decreasing order and orders near it, else by
+    best fit in random orders, so that crossover has to find the good bins.
+    """
     bound = -(-sum(lengths) // size)
     by_length = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     if not population:
-        population = [packed(by_length, lengths, size)]
+        population = [packed(by_length if greedy else rng.permutation(len(lengths)).tolist(), lengths, size)]
     scored = sorted(((fitness(p, lengths, size), p) for p in population), key=lambda x: x[0])
     while scored[0][0][0] > bound and len(scored) < POPULATION:
-        noise = np.array(lengths) * rng.uniform(0.85, 1.15, len(lengths))
-        p = packed(np.argsort(-noise, kind="stable").tolist(), lengths, size)
+        order = np.argsort(-np.array(lengths) * rng.uniform(0.85, 1.15, len(lengths)), kind="stable") if greedy else rng.permutation(len(lengths))
+        p = packed(order.tolist(), lengths, size)
         scored.append((fitness(p, lengths, size), p))
     scored.sort(key=lambda x: x[0])
     for _ in range(generations):
@@ -219,7 +223,7 @@ def pack_pieces(pieces: DataFrame, key: str, size: int, islands: int, epochs: in
     def start(keys, frame: pd.DataFrame) -> pd.DataFrame:
         lengths = np.sort(frame["length"].to_numpy(np.int32))[::-1].copy()
         rng = np.random.default_rng([tag, int(keys[0]), int(keys[1]), 0])
-        return state(int(keys[0]), int(keys[1]), lengths, evolve(lengths.tolist(), [], size, generations, rng))
+        return state(int(keys[0]), int(keys[1]), lengths, evolve(lengths.tolist(), [], size, generations, rng, greedy=int(keys[1]) == 0))
 
     def advance(epoch: int):
         def run(keys, frame: pd.DataFrame) -> pd.DataFrame:

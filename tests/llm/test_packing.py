@@ -52,6 +52,10 @@ def test_crossover_keeps_every_piece_once(seed):
     child = crossover(a, b, lengths, 100, rng)
     assert sorted(i for x in child for i in x) == list(range(120))
     assert all(sum(lengths[i] for i in x) <= 100 for x in child)
+    founded = [packed(np.random.default_rng(seed + k).permutation(120).tolist(), lengths, 100) for k in range(4)]
+    grown = evolve(lengths, founded, 100, 60, rng)
+    assert len(grown[0]) <= min(map(len, founded)) and sum(map(len, grown)) < sum(map(len, founded))  # crossover finds better bins
+    assert all(sorted(i for x in p for i in x) == list(range(120)) for p in evolve(lengths, [], 100, 5, rng, greedy=False))
     best = evolve(lengths, [], 100, 20, rng)[0]
     assert len(best) <= len(packed(sorted(range(120), key=lambda i: -lengths[i]), lengths, 100))
 
