@@ -6,7 +6,9 @@ log-probabilities per language, back-off weights likewise; a lookup is a binary
 the lowest cross-entropy per character wins. Held-back training texts calibrate a temperature, which turns
 differences of cross-entropy into a score, and the cross-entropy from which a text is rejected as none of
 the languages. Training texts are a bounded sample (``per_language`` texts of each language at most, in
-the mean); every text is scored whole. Null text, or text without a letter, is ``und`` with score 0.
+the mean); every text is scored whole. Null text, or text without a letter, is ``und`` with score 0. Of languages
+of equal cross-entropy the first by name wins. Rows are identified one by one, so repeated rows come back as often;
+an empty table gives an empty one. Columns outside ``keep`` are not read; one named like a result can't be kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from factgraph.llm.common import mix
 
 ORDER = 4
 UNKNOWN = "und"
-MAX_LANGUAGES = 128
+#: Languages whose probabilities share one table, and training texts of all languages together, in the mean.
+TOGETHER, TEXTS = 64, 50_000
 _LETTERS: np.ndarray | None = None
 
 
@@ -76,13 +79,13 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class KneserNey:
     """``grams[n]``: sorted keys and (keys, languages) log-probabilities; ``contexts[n]``: the same with log back-off weights."""
 
-    def __init__(self, languages: list[str], texts: list[list[str]]):
+    def __init__(self, languages: list[str], texts: list[list[str]], alphabet: int | None = None):
         self.languages = languages
         per = [[self._distinct(s, starts, n) for n in range(1, ORDER + 1)] for s, starts in ((x[0], x[1]) for x in map(symbols, texts))]
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         lower: np.ndarray | None = None
-        size = len(np.unique(np.concatenate([p[0]["key"] for p in per]))) + 1
+        size = (alphabet or len(np.unique(np.concatenate([p[0]["key"] for p in per])))) + 1
         self.floor = -np.log(size)
         for n in range(1, ORDER + 1):
             keys = np.unique(np.concatenate([p[n - 1]["key"] for p in per]))
@@ -156,10 +159,23 @@ class KneserNey:
         return -sums / np.maximum(lengths, 1)[:, None], lengths, n_letters
 
 
+class Models:
+    """Models of any number of languages, TOGETHER in a table: a table has a column for each of its languages, of which most n-grams have few."""
+
+    def __init__(self, languages: list[str], texts: list[list[str]]):
+        self.languages = languages
+        alphabet = len(np.unique(np.concatenate([symbols(t)[0] for t in texts])))
+        self.parts = [KneserNey(languages[i : i + TOGETHER], texts[i : i + TOGETHER], alphabet) for i in range(0, len(languages), TOGETHER)]
+
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [p.cross_entropy(texts) for p in self.parts]
+        return np.concatenate([e for e, _, _ in found], axis=1), found[0][1], found[0][2]
+
+
 class Identifier:
     """A model with its calibration: ``temperature`` per symbol, and by language mean and spread of the cross-entropy."""
 
-    def __init__(self, model: KneserNey, held: list[tuple[str, int]], tolerance: float = 1.5):
+    def __init__(self, model: Models, held: list[tuple[str, int]], tolerance: float = 1.5):
         self.model = model
         entropies, sizes, _ = model.cross_entropy([t for t, _ in held])
         truth = np.array([y for _, y in held], np.int64)
@@ -196,16 +212,18 @@ class Identifier:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400) -> Identifier | None:
-    """Fit on rows with text and language; None if there are none. A quarter of the sample is held back for calibration."""
+    """Fit on rows with text and language; None if there are none. A quarter of the sample is held back for calibration.
+
+    Every language is learned, from ``per_language`` texts in the mean, or fewer where TEXTS are not enough for all.
+    """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
+    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(int(min(1.0, per_language / n) * (1 << 20)))).otherwise(share)
+    each = min(per_language, max(4, TEXTS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(name, int(min(1.0, each / n) * (1 << 20))) for name, n in counts.items()], "__lang string, __share int")
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(1 << 20))
-    sample = rows.where(draw < share).select(F.col(lang), F.col(text), F.xxhash64(F.col(key), F.lit(29)).alias("h")).collect()
+    sample = rows.join(F.broadcast(shares), F.col(lang) == F.col("__lang")).where(draw < F.col("__share")).select(F.col(lang), F.col(text), F.xxhash64(F.col(key), F.lit(29)).alias("h")).collect()
     sample.sort(key=lambda r: (r[lang], r["h"], r[text]))
     languages = sorted({r[lang] for r in sample})
     fit: list[list[str]] = [[] for _ in languages]
@@ -216,7 +234,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             held.append((r[text], j))
         else:
             fit[j].append(r[text])
-    return Identifier(KneserNey(languages, fit), held)
+    return Identifier(Models(languages, fit), held) if languages else None
 
 
 def identify(docs: DataFrame, model: Identifier | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -74,6 +74,20 @@ def test_languages(spark):
     assert langid.train(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    rng = random.Random(4)
+    names = {f"l{i:02}": [f"{chr(97 + i)}{a}{b}" for a in "aeiou" for b in "lmnr"] for i in range(7)}
+    text = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i * 100 + k, text(w), name) for i, (name, w) in enumerate(names.items()) for k in range(20)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.model.languages == sorted(names) and len(model.model.parts) == 4
+    got = langid.identify(spark.createDataFrame([(i, text(w), name) for i, (name, w) in enumerate(names.items())], "doc_id long, text string, want string"), model, keep=("want",)).collect()
+    assert all(r["lang_pred"] == r["want"] for r in got)
+    assert [model.predict([rows[0][1]])[1].tolist()] * 2 == [model.predict([rows[0][1]] * 2)[1].tolist()[:1]] * 2
+
+
 def test_kneser_ney_sums_to_one():
     rng = random.Random(3)
     model = langid.KneserNey(["aa", "bb"], [[tongue(rng, "aa", 50)], [tongue(rng, "bb", 50)]])
