@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import _tables, drop_table, mix, stage_table
 
-MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 150_000
-#: Characters of words that are folded side by side, slots of the filter before the piece table, documents handled at once, and words counted before they are sent.
-AT_ONCE, FILTER, ROWS, COUNTED = 48, 1 << 21, 256, 300_000
+MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 300_000
+#: Characters of words that are folded side by side, slots that lead to the piece table, documents handled at once, and words counted before they are sent.
+AT_ONCE, SLOTS, ROWS, COUNTED = 48, 1 << 20, 256, 300_000
 WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
 
 
@@ -61,14 +61,17 @@ def words_of(text: str) -> list[str]:
 
 
 class Folder:
-    """The best paths of words, by the same fold as ``encode_words``; ``rare`` keeps the ids of RARE words at most.
+    """The best paths of words, by the same fold as ``encode_words``.
+
+    ``table`` holds the ids of known words; those added to it, RARE at most, are listed in ``rare``.
 
     ``many`` folds words of AT_ONCE characters at most side by side: the hashes of all their substrings are looked
     up in the piece table, and each step of the fold goes over all words. Longer words are folded one by one.
     """
 
     def __init__(self, path: str):
-        self.rare: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = {}
+        self.rare: list[str] = []
         self.pieces, self.byte0, self.fallback, _ = piece_table(path)
         self.longest = max(map(len, self.pieces))
         text = list(self.pieces)
@@ -81,8 +84,20 @@ class Folder:
         self.hashes = found[order]
         self.ids = np.array([self.pieces[t][0] for t in text], np.int32)[rank]
         self.scores = np.array([self.pieces[t][1] for t in text])[rank]
-        self.filter = np.zeros(FILTER, bool)
-        self.filter[self.hashes & np.uint64(FILTER - 1)] = True
+        spot = (self.hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.slots[spot] = np.arange(len(spot))
+        many = np.bincount(spot, minlength=SLOTS) > 1
+        self.slots[many] = -2  # several pieces
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces, and their places in the table."""
+        place = self.slots[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+        shared = np.flatnonzero(place == -2)
+        place[shared] = np.minimum(np.searchsorted(self.hashes, hashes[shared]), len(self.hashes) - 1)
+        maybe = np.flatnonzero(place >= 0)
+        hit = maybe[self.hashes[place[maybe]] == hashes[maybe]]
+        return hit, place[hit]
 
     def __call__(self, word: str) -> list[int]:
         n, get = len(word), self.pieces.get
@@ -105,6 +120,21 @@ class Folder:
             n -= step
         return out[::-1]
 
+    def learn(self, table: dict[str, bytes], texts: list[list[str]]) -> dict[str, bytes]:
+        """``table`` with all words of the texts; words over LONGEST characters only for now, in a table of their own."""
+        if table is not self.table:
+            self.table, self.rare = table, []
+        if len(self.rare) > RARE:
+            for w in self.rare:
+                del table[w]
+            self.rare.clear()
+        new = list(set().union(*({*words}.difference(table) for words in texts)))
+        found = dict(zip(new, self.many(new), strict=True))
+        short = [w for w in new if len(w) <= LONGEST]
+        self.rare += short
+        table.update((w, found[w]) for w in short)
+        return {w: found[w] for w in new if len(w) > LONGEST}
+
     def many(self, words: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each word."""
         out = [b""] * len(words)
@@ -126,12 +156,12 @@ class Folder:
         sizes = np.array([len(w) for w in words])
         hashes, n = _prefix(codes), len(codes)
         score, which = np.full((self.longest + 1, n), -np.inf), np.full((self.longest + 1, n), -1, np.int32)
+        start, stop = np.arange(n), np.repeat(first + sizes, sizes)
         for size in range(1, min(self.longest, int(sizes[0])) + 1):
-            h = _spans(hashes, np.arange(n - size + 1), size)
-            at = np.flatnonzero(self.filter[h & np.uint64(FILTER - 1)])
-            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            hit = self.hashes[place] == h[at]
-            score[size, at[hit]], which[size, at[hit]] = self.scores[place[hit]], self.ids[place[hit]]
+            start = start[start + size <= stop[start]]  # inside the word
+            hit, place = self.find(_spans(hashes, start, size))
+            at = start[hit]
+            score[size, at], which[size, at] = self.scores[place], self.ids[place]
         octets = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
         node = first + np.arange(len(words))  # of each word's start: a word has one node more than characters
         best, step, piece = np.zeros(n + len(words)), np.zeros(n + len(words), np.int32), np.full(n + len(words), -1, np.int32)
@@ -228,12 +258,13 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "count"])
+            short = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["word", "count"])
 
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 for t in b.column(0).slice(at, ROWS).to_pylist():
-                    counts.update(w for w in words_of(t or "") if len(w) <= LONGEST)
+                    counts.update(words_of(t or ""))
                     if len(counts) > COUNTED:
                         yield out()
                         counts.clear()
@@ -254,22 +285,16 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>", *(["round_trip boolean"] if checked else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fold = sent.value, folder(path)
+        table, fold = sent.value, folder(path)
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
                 b = big.slice(at, ROWS)
-                rare = fold.rare
-                if len(rare) > RARE:
-                    rare.clear()
                 whole = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
                 texts = list(map(words_of, whole))
-                new = list({w for words in texts for w in words if w not in known and w not in rare})
-                long: dict[str, bytes] = {}
-                for w, ids in zip(new, fold.many(new), strict=True):
-                    (rare if len(w) <= LONGEST else long)[w] = ids
+                long = fold.learn(table, texts)
                 offsets, parts = [0], []
                 for words in texts:
-                    part = b"".join([known.get(w) or rare.get(w) or long[w] for w in words])
+                    part = b"".join([long[w] if w in long else table[w] for w in words] if long else map(table.__getitem__, words))
                     parts.append(part)
                     offsets.append(offsets[-1] + len(part) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), np.int32))
