@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Text is hashed in slices of about this many bytes, so that a batch of long texts needs no more memory.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,8 +20,8 @@ import zstandard
 from factgraph.llm.common import mix
 
 #: A flush holds at most about so many postings or documents.
-FLUSH, FLUSH_DOCS = 1_500_000, 30_000
-PART = 16
+FLUSH, FLUSH_DOCS = 400_000, 30_000
+PART = 8
 SCHEMA = "slice int, part long, keys binary, owners binary, docs binary"
 
 

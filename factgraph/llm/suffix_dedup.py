@@ -176,7 +176,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = postings.Writer(slices_n, 3, marks=True)
         seen: dict[int, int] = {}
-        for b in batches:
+        for b in (big.slice(at, 512) for big in batches for at in range(0, big.num_rows, 512)):
             where, ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for first, part, _, _, _, _, keys, owner in _doc_runs(texts, width):
                 bounds = np.searchsorted(owner, np.arange(len(part) + 1))
