@@ -123,8 +123,8 @@ def resolve_targets(calls: DataFrame, symbols: DataFrame, exports: DataFrame) ->
     return out, notes
 
 
-def build(files: DataFrame, extractors: dict | None = None) -> Index:
-    """``files``: repository_id, repository_root, path, language, content."""
+def build(files: DataFrame, extractors: dict | None = None, detectors: dict | None = None) -> Index:
+    """``files``: repository_id, repository_root, path, language, content. ``extractors`` by language and ``detectors`` of routes replace the registered ones."""
     raw = staged(extract(files, extractors), "raw")  # every table below reads it; files are parsed once
     file_ids = files.select("repository_id", "path", S.stable_id("file", F.col("repository_root"), F.col("path")).alias("file_id"))
     symbols = exploded(raw, "symbols").withColumn("id", symbol_id()).join(file_ids, KEY).withColumnRenamed("path", "file_path")
@@ -141,7 +141,7 @@ def build(files: DataFrame, extractors: dict | None = None) -> Index:
     resolved, ambiguous = resolve_targets(calls.where("category is null"), symbols, exports)
     target = by_ordinal.select("repository_id", "path", F.col("symbol").alias("target"), F.col("source_symbol_id").alias("target_symbol_id"))
     hints = exploded(raw, "hints").join(by_ordinal, [*KEY, "symbol"]).join(target, [*KEY, "target"], "left").join(file_ids, KEY)
-    boundaries, route_notes = detect_routes(files, packages, bindings.where("language = 'go'").select(*KEY, "alias"))
+    boundaries, route_notes = detect_routes(files, packages, bindings.where("language = 'go'").select(*KEY, "alias"), detectors)
     tables = {
         "files": all_files,
         "symbols": symbols.select("id", "repository_id", "file_id", "file_path", "canonical_name", "name", "receiver", "kind", "signature", "start_line", "start_col", "end_line", "end_col", "start_byte", "end_byte"),
@@ -172,7 +172,7 @@ def boundary_hints(placed: DataFrame) -> DataFrame:
     return placed.select("root", S.boundary_hint(F.col("relative_path")).alias("h")).groupBy("root").agg(F.array_sort(F.collect_set("h")).alias("boundary_hints"))
 
 
-def index_workspace(files: DataFrame, generated_at: str, workspace_root: str = "", skipped: int = 0) -> Index:
+def index_workspace(files: DataFrame, generated_at: str, workspace_root: str = "", skipped: int = 0, extractors: dict | None = None, detectors: dict | None = None) -> Index:
     """All fact tables of a scanned workspace (relative_path, content): repositories and services too, and the counts of the run.
 
     Paths are absolute below ``workspace_root``; ``skipped`` counts the entries that the scan left out.
@@ -183,7 +183,7 @@ def index_workspace(files: DataFrame, generated_at: str, workspace_root: str = "
     inside = F.when(F.col("root") == "", F.col("relative_path")).otherwise(F.expr("substring(relative_path, length(root) + 2)"))
     language = F.coalesce(S.language_of(F.col("relative_path")), F.when(S.file_bucket(F.col("relative_path")).isin("javascript", "typescript"), S.file_bucket(F.col("relative_path"))), F.lit(""))
     table = placed.select(repository.alias("repository_id"), F.col("root").alias("repository_root"), inside.alias("path"), language.alias("language"), "content")
-    out = build(table)
+    out = build(table, extractors, detectors)
     if workspace_root:
         out.tables["files"] = out["files"].withColumn("absolute_path", F.concat(F.lit(workspace_root.rstrip("/") + "/"), "absolute_path"))
     out.tables["repositories"] = repositories(placed)

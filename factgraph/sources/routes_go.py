@@ -16,7 +16,7 @@ a depth of three and never recursively. Receivers that are not proven to be rout
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -446,10 +446,12 @@ def top_functions(node: Node) -> Iterator[Node]:
         yield from top_functions(c)
 
 
+#: Registry of detectors: (files of a package, handlers of imported functions) to rows like those of ``package_routes``. Roots of all are united; of one route the best wins.
+DETECTORS: dict[str, Callable[[list[tuple[str, bytes]], dict[tuple[str, str], Handler]], list[dict]]] = {"go-routes": package_routes}
 PROVIDERS = "repository_id string, token string, name string, to_token string, to_type string"
 
 
-def detect_routes(files: DataFrame, packages: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+def detect_routes(files: DataFrame, packages: DataFrame, imports: DataFrame, detectors: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(boundaries, diagnostics) of a files table; ``packages``: repository_id, path, package_name; ``imports``: repository_id, path, alias.
 
     Whole packages that hold no candidate word are left out before any parsing; the others are grouped by
@@ -475,11 +477,13 @@ def detect_routes(files: DataFrame, packages: DataFrame, imports: DataFrame) ->
     agreed = found.groupBy("repository_id", "token", "name").agg(F.min(target).alias("lo"), F.max(target).alias("hi")).where("lo = hi").select("repository_id", "token", "name", "lo.*")
     given = staged(tokens.join(agreed, ["repository_id", "token"]), "providers")
     names = [x.split(" ")[0] for x in ROOTS.split(", ")]
+    chosen = DETECTORS if detectors is None else detectors
 
     def run(keys: tuple, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         imported = {(t, n): Handler(a, b) for t, n, a, b in zip(known["token"], known["name"], known["to_token"], known["to_type"], strict=True)}
         try:
-            rows = package_routes([(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], imported)
+            sources = [(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)]
+            rows = [r for detect in chosen.values() for r in detect(sources, imported)]
         except (RecursionError, ValueError, KeyError, IndexError, AttributeError) as e:
             rows = [dict.fromkeys(names, "") | {"source_file": min(frame["path"], default=""), "source_start_byte": 0, "source_end_byte": 0, "category": "boundary_detection_failed", "message": f"{type(e).__name__}: {e}"}]
         return pd.DataFrame([{**r, "repository_id": keys[0]} for r in rows if len(frame)], columns=names)

@@ -4,7 +4,8 @@ from factgraph.sources.facts_go import go_facts
 from factgraph.sources.facts_js import js_facts
 from factgraph.sources.facts_python import import_candidates, python_facts
 from factgraph.sources.go_syntax import parse
-from factgraph.sources.routes_go import Handler, package_providers, package_routes
+from factgraph.sources.extract import EXTRACTORS
+from factgraph.sources.routes_go import DETECTORS, Handler, package_providers, package_routes
 
 GO = b"""package service
 import h "example.com/x/helper"
@@ -225,3 +226,26 @@ def test_providers_of_other_packages_where_all_agree(spark):
     built = index.index_workspace(staged(files, "tree"), "2024-01-01T00:00:00")
     assert {(r["path"], r["handler_target"]) for r in built["boundaries"].collect()} == {("/a", "inner.Show"), ("/b", "")}
     assert [r["category"] for r in built["diagnostics"].where("category like 'boundary%'").collect()] == ["boundary_unresolved_handler_target"]
+
+
+def test_detectors_and_extractors_are_registries(spark):
+    tree = {"r/go.mod": "module m\n", "r/a.go": 'package a\nimport "net/http"\nfunc wire() { http.HandleFunc("/x", list) }\n', "r/b.java": "class B {}\n"}
+    files = staged(spark.createDataFrame([(p, t.encode()) for p, t in tree.items()], "relative_path string, content binary"), "tree")
+
+    def second(sources, imported):
+        return [r | {"detector": "again", "framework": "other"} for r in package_routes(sources, imported)]
+
+    def java(path, source):
+        place = {k: 1 for k in ("start_line", "start_col", "end_line", "end_col", "start_byte", "end_byte")}
+        return {"package": "j", "symbols": [{"name": "B", "receiver": "", "canonical_name": "j.B", "kind": "class", "signature": "class B", "synthetic": False, **place}], "imports": [], "exports": [], "calls": [], "hints": [], "diagnostics": [], "fields": []}
+
+    built = index.index_workspace(files, "2024-01-01T00:00:00", extractors={**EXTRACTORS, "java": java}, detectors={**DETECTORS, "again": second})
+    assert {r["canonical_name"] for r in built["symbols"].collect()} == {"a.wire", "j.B"}
+    assert [(r["framework"], r["path"]) for r in built["boundaries"].collect()] == [("other", "/x")]  # a tie goes to the first by name
+    assert [r["category"] for r in built["diagnostics"].where("category like 'boundary%'").collect()] == ["boundary_ambiguity"]
+
+    def broken(sources, imported):
+        raise ValueError("no")
+
+    built = index.index_workspace(files, "2024-01-01T00:00:00", detectors={"x": broken})
+    assert [r["message"] for r in built["diagnostics"].where("category = 'boundary_detection_failed'").collect()] == ["ValueError: no"]
