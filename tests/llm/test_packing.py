@@ -40,6 +40,13 @@ def test_pieces_and_bins(spark):
     assert len(places) <= -(-sum(v[1] for v in want.values()) // 4096) + 1
 
 
+def test_repeated_rows_are_packed_as_often(spark):
+    rows = [(7, "a b c"), (7, "a b c"), (7, "other words"), (None, "x"), (None, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in got) == [(-1, 1), (-1, 2), (7, 3), (7, 4), (7, 4)]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
