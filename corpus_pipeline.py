@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.llm import langid, ngram_join, packing, quality, suffix_dedup
-from factgraph.llm.common import stage_table
+from factgraph.llm.common import drop_table, stage_table
 from factgraph.llm.entries import fold, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_table(docs)  # a stage's table goes once the next one is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
