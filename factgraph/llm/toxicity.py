@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence gets a probability from the weights of its words, and the
+A document is a bag of sentences. Each sentence gets a probability from the weights of its words and of their
+first letters (so that endings never seen still count), and the
 document the noisy-or of its sentences: 1 - prod(1 - p). Weights are trained in numpy from document labels
 alone, on a bounded sample of labelled rows (``most`` in the mean); every text is scored whole, and the
 sentences that carry the score are located by character span. Null and empty texts are one empty sentence,
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word's beginnings that are features of their own.
+BEGINNINGS = (4, 5, 6, 7)
 BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -36,6 +39,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out or [(0, 0)]
 
 
+def beginnings(words: set[str] | frozenset[str], k: int) -> set[str]:
+    """The first k letters of longer words; a star tells them from words."""
+    return {w[:k] + "*" for w in words if len(w) > k}
+
+
+def features(lowered: str) -> frozenset[str]:
+    """Words and their beginnings in a lower-cased text."""
+    words = frozenset(WORD.findall(lowered))
+    return words.union(*(beginnings(words, k) for k in BEGINNINGS))
+
+
 def enrichment(a: int, b: int, n1: int, n0: int) -> float:
     """Log of an upper bound (Chernoff) of the chance that ``a`` or more of a word's a + b documents have label 1."""
     n, q, p = a + b, a / (a + b), n1 / (n1 + n0)
@@ -46,7 +60,9 @@ def enrichment(a: int, b: int, n1: int, n0: int) -> float:
 
 class NoisyOr:
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.words = weights, bias, frozenset(weights)
+        self.weights, self.bias = weights, bias
+        self.words = frozenset(w for w in weights if w[-1] != "*")
+        self.starts = {k: found for k in BEGINNINGS if (found := frozenset(w for w in weights if w[-1] == "*" and len(w) == k + 1))}
 
     @classmethod
     def fit(cls, chosen: list[str], docs: list[tuple[int, int, list[int], list[int]]], steps: int = 300, rate: float = 0.2, decay: float = 2e-4) -> NoisyOr:
@@ -76,24 +92,30 @@ class NoisyOr:
             bias -= rate * g0 / np.sqrt(bias_sum)
         return cls({c: float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}, bias)
 
+    def hits(self, words: frozenset[str]) -> list[str]:
+        """The features with weights, sorted."""
+        out = set(self.words.intersection(words))
+        for k, known in self.starts.items():
+            out |= known.intersection(beginnings(words, k))
+        return sorted(out)
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's probability, and (start, end, probability) of each sentence."""
-        spans, odds = sentences(text), []
-        lowered = text.lower()
-        same = len(lowered) == len(text)
-        for a, b in spans:
-            hit = self.words.intersection(WORD.findall(lowered[a:b] if same else text[a:b].lower()))
-            odds.append(self.bias + sum(self.weights[w] for w in sorted(hit)))
-        p = 1 / (1 + np.exp(-np.clip(np.array(odds), -30, 30)))
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True)]
+        """The document's probability, and (start, end, probability) of each sentence. Sentences are looked at only if the text has a feature at all."""
+        spans = sentences(text)
+        odds = np.full(len(spans), self.bias)
+        if self.hits(frozenset(WORD.findall(text.lower()))):
+            for i, (a, b) in enumerate(spans):
+                odds[i] += sum(self.weights[w] for w in self.hits(frozenset(WORD.findall(text[a:b].lower()))))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(a, b, x) for (a, b), x in zip(spans, p.tolist(), strict=True)]
 
 
 def _bag(text: str) -> list[frozenset[str]]:
-    return [frozenset(WORD.findall(text[a:b].lower())) for a, b in sentences(text)]
+    return [features(text[a:b].lower()) for a, b in sentences(text)]
 
 
 def choose_words(rows: DataFrame) -> list[str]:
-    """Words of the sampled ``rows`` (__t, __y) found in more documents of label 1 than chance explains, one false word expected; strongest first."""
+    """Words and beginnings of the sampled ``rows`` (__t, __y) found in more documents of label 1 than chance explains, one false word expected; strongest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -103,7 +125,7 @@ def choose_words(rows: DataFrame) -> list[str]:
 
         for b in batches:
             for i in range(b.num_rows):
-                words, y = frozenset().union(*_bag(b.column(0)[i].as_py())), b.column(1)[i].as_py()
+                words, y = features(b.column(0)[i].as_py().lower()), b.column(1)[i].as_py()
                 counts.update((w, y) for w in words)
                 counts["", y] += 1  # no word: counts documents
                 if len(counts) > 100_000:

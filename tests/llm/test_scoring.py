@@ -128,6 +128,22 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.train(df.limit(0), marks.limit(0)).score("a")[0] < 0.3
 
 
+def test_toxicity_knows_endings_never_seen(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(600):
+        lines = [" ".join(f"word{rng.randrange(300)}" for _ in range(5)).replace("0", "o") + "." for _ in range(4)]
+        if i % 4 == 0:
+            lines[2] = f"so grumbel{''.join(rng.choice('abcdefgh') for _ in range(5))} it is."
+        docs.append((i, "\n".join(lines), int(i % 4 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    assert model.starts and model.score("It is\nquite GRUMBELxyzzy here.")[0] > 0.3 > model.score("It is quite fine here.")[0]
+    p, parts = model.score("Fine.\nquite grumbelzz here.\nFine.")
+    assert len(parts) == 3 and max(parts, key=lambda x: x[2])[:2] == (6, 27) and parts[0][2] == parts[2][2]
+    assert model.score("")[1] == [(0, 0, pytest.approx(1 / (1 + math.exp(-model.bias))))]
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(8)
     texts = [" ".join(w for _ in range(20) for w in rng.choice([("the", "cat", "sat"), ("a", "dog", "ran")])) for _ in range(400)]
