@@ -2,7 +2,7 @@
 
 A window network sees SIDE words on both sides of a position, never the word itself, and predicts it:
 embeddings, one tanh layer, soft-max over classes. The WORDS most frequent words are classes of their own, the
-others are dealt to BUCKETS classes by hash, and a word of such a class has its share of the class's
+others are dealt to BUCKETS classes by their last two bytes, which context tells more of than of a word, and a word of such a class has its share of the class's
 occurrences in the whole corpus as its probability there. So every word has a probability of its own, and those
 of all words add up to one. A document's score is the sum of the conditional log-probabilities of all its words.
 
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import drop_table, encoded, fraction_filter, slices, span_hashes, stage_table, word_spans
+from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, slices, span_hashes, stage_table, word_spans
 
 WORDS, BUCKETS, SIDE, DIM, HIDDEN, KNOWN = 127, 64, 2, 12, 32, 1 << 20
 SIZE = 1 + WORDS + BUCKETS
+#: A word's hash begins with the bits of its class.
+BITS = BUCKETS.bit_length() - 1
 SHAPES = [("e", (SIZE, DIM)), ("w1", (2 * SIDE * DIM, HIDDEN)), ("b1", (HIDDEN,)), ("w2", (HIDDEN, SIZE)), ("b2", (SIZE,))]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,7 +60,8 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _, part in slices(texts):
         data = _LOWER[np.frombuffer(b"\n".join(part), np.uint8)]
         starts, ends = word_spans(data)
-        yield span_hashes(data, starts, ends), np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))
+        ending = mix(data[ends - 1].astype(np.uint64) | data[np.maximum(ends - 2, starts)].astype(np.uint64) << np.uint64(8)) % np.uint64(BUCKETS)
+        yield span_hashes(data, starts, ends) >> np.uint64(BITS) | ending << np.uint64(64 - BITS), np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))
 
 
 class Vocabulary:
@@ -80,7 +83,7 @@ class Vocabulary:
 
     @staticmethod
     def bucket(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+        return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = 1 + WORDS + self.bucket(hashes)
@@ -181,7 +184,7 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int | None = None) ->
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["h", "c"])
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = stage_table(counted.withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int")), "words")
+    counts = stage_table(counted.withColumn("b", F.shiftrightunsigned("h", 64 - BITS).cast("int")), "words")
     top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(WORDS).select("h").collect()], np.int64)
     of = counts.where(~F.col("h").isin(top.tolist())) if len(top) else counts
     least, room = 1 << 20, most
