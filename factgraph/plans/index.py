@@ -127,16 +127,16 @@ def build(files: DataFrame, extractors: dict | None = None, detectors: dict | No
     """``files``: repository_id, repository_root, path, language, content. ``extractors`` by language and ``detectors`` of routes replace the registered ones."""
     raw = staged(extract(files, extractors), "raw")  # every table below reads it; files are parsed once
     file_ids = files.select("repository_id", "path", S.stable_id("file", F.col("repository_root"), F.col("path")).alias("file_id"))
-    symbols = exploded(raw, "symbols").withColumn("id", symbol_id()).join(file_ids, KEY).withColumnRenamed("path", "file_path")
+    symbols = staged(exploded(raw, "symbols").withColumn("id", symbol_id()).join(file_ids, KEY).withColumnRenamed("path", "file_path"), "symbols")
     by_ordinal = symbols.select("repository_id", F.col("file_path").alias("path"), F.col("ordinal").alias("symbol"), F.col("id").alias("source_symbol_id"))
     packages = raw.select(*KEY, F.col("package").alias("package_name"))
     all_files = files.select("repository_id", "repository_root", "path", "language").join(file_ids, KEY).join(packages, KEY, "left").select(F.col("file_id").alias("id"), "repository_id", "repository_root", F.col("path").alias("relative_path"), F.concat_ws("/", F.nullif(F.col("repository_root"), F.lit("")), F.col("path")).alias("absolute_path"), "language", F.coalesce("package_name", F.lit("")).alias("package_name"))
-    bindings = resolved_imports(files, raw)
+    bindings = staged(resolved_imports(files, raw), "imports")
     imports = bindings.join(file_ids, KEY)
     binding_rows = imports.select(S.stable_id("imp", F.col("file_id"), F.lit("binding"), F.col("ordinal")).alias("id"), "file_id", F.col("path").alias("file_path"), "source", "alias", "imported_name", "export_name", "resolved_path", "is_default", "is_namespace", "is_local")
     raw_rows = imports.groupBy("file_id", "path", "source").agg(F.lit("").alias("alias")).select(S.stable_id("imp", F.col("file_id"), F.lit("raw"), F.col("source")).alias("id"), "file_id", F.col("path").alias("file_path"), "source", "alias", *[F.lit("").alias(c) for c in ("imported_name", "export_name", "resolved_path")], *[F.lit(False).alias(c) for c in ("is_default", "is_namespace", "is_local")])
     exports = exploded(raw, "exports").join(file_ids, KEY).withColumnRenamed("path", "file_path").withColumn("id", S.stable_id("exp", F.col("file_id"), F.col("ordinal")))
-    calls = named_calls(raw, bindings).join(by_ordinal, [*KEY, "symbol"]).join(file_ids, KEY).withColumn("id", S.stable_id("call", F.col("file_id"), F.col("ordinal"))).withColumnRenamed("evidence", "evidence_source")
+    calls = staged(named_calls(raw, bindings).join(by_ordinal, [*KEY, "symbol"]).join(file_ids, KEY).withColumn("id", S.stable_id("call", F.col("file_id"), F.col("ordinal"))).withColumnRenamed("evidence", "evidence_source"), "calls")
     noted = calls.where("category is not null").select(S.stable_id("diag", F.col("file_id"), F.col("ordinal")).alias("id"), F.col("path").alias("file_path"), F.col("source_symbol_id").alias("symbol_id"), "category", F.lit("call target is not statically known").alias("message"), F.col("evidence_source").alias("evidence"))
     resolved, ambiguous = resolve_targets(calls.where("category is null"), symbols, exports)
     target = by_ordinal.select("repository_id", "path", F.col("symbol").alias("target"), F.col("source_symbol_id").alias("target_symbol_id"))
