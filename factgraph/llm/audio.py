@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.llm.common import released
+
 RATE, UP, DOWN = 16_000, 3, 8
 FRAME, HOP, MELS, BLOCK = 256, 128, 32, 64
 #: Decibels over the row's mean at which a segment starts, and below which it ends.
@@ -185,7 +187,7 @@ def audio_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
                 arrays = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], types["segments"]), pa.array(cols[4], pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*keep, "payload", "n_frames", "tensors", "segments", "feature"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def tensor_table(data: bytes) -> pa.Table:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.llm.common import released
+
 TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 #: Contents are not markup.
@@ -256,4 +258,4 @@ def extract_main_text(df: DataFrame, html: str = "html", out: str = "text") -> D
                 texts = [main_text(x) if x else "" for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*others, out])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)

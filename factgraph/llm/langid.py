@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import mix
+from factgraph.llm.common import mix, released
 
 ORDER = 4
 UNKNOWN = "und"
@@ -262,4 +262,4 @@ def identify(docs: DataFrame, model: Identifier | None, text: str = "text", keep
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import _tables, drop_table, mix, stage_table
+from factgraph.llm.common import _tables, drop_table, mix, released, stage_table
 
 MARK, LONGEST, DICTIONARY, RARE = "▁", 48, 1 << 17, 300_000
 #: Characters of words that are folded side by side, slots that lead to the piece table, documents handled at once, and words counted before they are sent.
@@ -270,7 +270,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                         counts.clear()
         yield out()
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return docs.select(F.col(text).cast("string")).mapInArrow(released(run), "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, dictionary: int = DICTIONARY, checked: bool = False) -> DataFrame:
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 back = [pa.array([x == t for x, t in zip(spell(ids, path), whole, strict=True)], pa.bool_())] if checked else []
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *back], names=[*keep, "ids", *(["round_trip"] if checked else [])])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 @functools.lru_cache(maxsize=4)
@@ -333,7 +333,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str
                 b = big.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spell(b.column(b.num_columns - 1), path), pa.string())], names=[*others, out])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def session_words(spark: SparkSession, words: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, slices, span_hashes, stage_table, word_spans
+from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, released, slices, span_hashes, stage_table, word_spans
 
 WORDS, BUCKETS, SIDE, DIM, HIDDEN, KNOWN = 127, 64, 2, 12, 32, 1 << 20
 SIZE = 1 + WORDS + BUCKETS
@@ -183,7 +183,7 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int | None = None) ->
             k, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["h", "c"])
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(released(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = stage_table(counted.withColumn("b", F.shiftrightunsigned("h", 64 - BITS).cast("int")), "words")
     top = np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(WORDS).select("h").collect()], np.int64)
     of = counts.where(~F.col("h").isin(top.tolist())) if len(top) else counts
@@ -227,7 +227,7 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", key: str = "do
                 v = flat(net.p) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v), pa.array(np.full(len(v), float(seen)))], names=["i", "v", "n"])
 
-        mean = share.mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+        mean = share.mapInArrow(released(run), "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
         if mean:
             v = np.zeros(len(flat(now)))
             v[[x["i"] for x in mean]] = [x["v"] for x in mean]
@@ -255,4 +255,4 @@ def score_documents(docs: DataFrame, weights: dict[str, np.ndarray], words: Voca
             n, s = (np.concatenate([*x, np.zeros(0)]) for x in (sizes, sums))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n.astype(np.int64)), pa.array(s), pa.array(np.where(n > 0, s / np.maximum(n, 1), 0.0))], names=[*keep, "n_words", "sum_log_prob", "mean_log_prob"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, slices, span_hashes, stage_table, word_spans
+from factgraph.llm.common import drop_table, encoded, fraction_filter, mix, released, slices, span_hashes, stage_table, word_spans, trim
 from factgraph.llm.graph import connected_components
 from factgraph.llm.postings import pack_docs, slice_of, unpack_docs
 
@@ -169,7 +169,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, body, schema: str) -> Da
         parts = (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512))
         yield from body((b.column(0).to_pylist(), shingle_sets(encoded(b.column(1)), n)) for b in parts)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def frequent_shingles(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
@@ -253,6 +253,7 @@ def shared_sets(docs: DataFrame, measured: DataFrame, frequent, slices_n: int, t
 
     def count(table: pa.Table) -> pa.Table:
         """The shingles of a slice that several documents have, back to the documents."""
+        trim()
         keys, owner, ids, base = [], [], [], 0
         for k, o, d in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "docs")), strict=True):
             d, m = unpack_docs(d, 1)[:, 0], len(o) // 2
@@ -279,6 +280,7 @@ def shared_sets(docs: DataFrame, measured: DataFrame, frequent, slices_n: int, t
 
     def gather(own: pa.Table, replies: pa.Table) -> pa.Table:
         """Of the documents of a block those that share enough."""
+        trim()
         out: list[tuple] = []
         names, order = np.unique(own.column("id").to_numpy(), return_index=True) if own.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         n = own.column("n").to_numpy()[order] if own.num_rows else order

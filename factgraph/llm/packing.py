@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import stage_table
+from factgraph.llm.common import released, stage_table
 
 SIZE, END_ID, GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 1, 4096, 3, 2, 8, 4
 #: Texts of these characters alone can be cut into words here; others go through the tokenizer whole.
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", token
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def best_fit(items: list[int], lengths: list[int], bins: list[list[int]], room: list[int], size: int) -> None:

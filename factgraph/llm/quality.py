@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import drop_table, encoded, stage_table
+from factgraph.llm.common import drop_table, encoded, released, stage_table
 
 SYMBOLS = b"#*$%&|<>"
 #: Statistic: (numerator, denominator) columns; larger is worse.
@@ -68,7 +68,7 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             rows = np.array([measure(t) for t in encoded(b.column(b.num_columns - 1))], np.int64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def upper_bound(bad: int, n: int, level: float) -> float:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import postings
-from factgraph.llm.common import BYTE_VALUES, _tables, mix, slices, span_hashes, stage_table
+from factgraph.llm.common import BYTE_VALUES, _tables, mix, released, slices, span_hashes, stage_table, trim
 from factgraph.llm.suffix_array import weak_ranks
 
 WIDTH, GRAM = 50, 24
@@ -119,7 +119,7 @@ def _to_blocks(frame: DataFrame) -> DataFrame:
         if size:
             yield out(pa.Table.from_batches(kept))
 
-    return frame.mapInArrow(run, "block int, batch binary")
+    return frame.mapInArrow(released(run), "block int, batch binary")
 
 
 def _from_batches(column) -> pa.Table | None:
@@ -198,6 +198,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
     def share(table: pa.Table) -> pa.Table:
         """Anchors of two identities or more, back to the smallest document of each identity."""
+        trim()
         frame = table.to_pandas()
         parts = frame["part"].notna().to_numpy()
         found_keys, found_docs = [], []
@@ -231,10 +232,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         return pa.table({n: pa.array(c, t) for (n, t), c in zip((("block", pa.int32()), ("batch", pa.binary()), ("one", pa.binary()), ("two", pa.binary())), cols, strict=True)})
 
     back = "block int, batch binary, one binary, two binary"
-    shared = known.mapInArrow(post, postings.SCHEMA).groupBy("slice").applyInArrow(share, back)
+    shared = known.mapInArrow(released(post), postings.SCHEMA).groupBy("slice").applyInArrow(share, back)
 
     def contexts(table: pa.Table) -> pa.Table:
         """Distinct contexts of a block, packed by slice."""
+        trim()
         is_doc = table.column("batch").is_valid().to_numpy()
         replies = table.filter(pa.array(~is_doc))
         empty = pa.table({n: pa.array([], t) for n, t in CONTEXT_TYPES})
@@ -296,6 +298,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
     def resolve(table: pa.Table) -> pa.Table:
         """Sort the strings of a slice's contexts; answer each block that has a larger key than the smallest."""
+        trim()
         rows = table.to_pylist()
         names = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], size_type) for r in rows]).astype(np.int64)
@@ -337,6 +340,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     out_schema = ", ".join([f"`{key}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")])
 
     def apply(table: pa.Table) -> pa.Table:
+        trim()
         own = _from_batches(table.column("batch").filter(table.column("batch").is_valid()))
         if own is None:
             own = pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("body", pa.binary()), *((f"__k{i}", pa.null()) for i in range(len(extra))))})

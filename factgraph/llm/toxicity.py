@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.llm.common import released
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7)
@@ -133,7 +135,7 @@ def choose_words(rows: DataFrame) -> list[str]:
                     counts.clear()
         yield out()
 
-    counted = rows.select("__t", "__y").mapInArrow(run, "word string, y int, c long")
+    counted = rows.select("__t", "__y").mapInArrow(released(run), "word string, y int, c long")
     counted = counted.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("b"))
     counted = counted.where("a >= 3 or word = ''").collect()
     n1, n0 = next(((r["a"], r["b"]) for r in counted if not r["word"]), (0, 0))
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             c = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in c[2:])], names=["y", "n", "s", "w"])
 
-    found = rows.select("__t", "__y").mapInArrow(run, "y int, n int, s array<int>, w array<int>").collect()
+    found = rows.select("__t", "__y").mapInArrow(released(run), "y int, n int, s array<int>, w array<int>").collect()
     return NoisyOr.fit(chosen, sorted((r["y"], r["n"], r["s"], r["w"]) for r in found))
 
 
@@ -183,4 +185,4 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, text: str = "text", keep: tu
                 found.append([{"start": s, "end": e, "score": x, "sentence": t[s:e]} for s, e, x in sorted(parts, key=lambda v: (-v[2], v[0])) if x >= located])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(sizes, pa.int32()), pa.array(found, kind)], names=[*keep, "score", "n_sentences", "offending"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
