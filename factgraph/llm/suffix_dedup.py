@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +98,7 @@ def _to_blocks(frame: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
-            table = table.take(pa.compute.sort_indices(table.column("block")))
+            table = table.take(pc.sort_indices(table.column("block")))
             numbers = table.column("block").to_numpy()
             edges = np.concatenate([np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])), [len(numbers)]])
             blobs = []
