@@ -20,7 +20,7 @@ import zstandard
 from factgraph.llm.common import mix
 
 #: A flush holds at most about so many postings or documents.
-FLUSH, FLUSH_DOCS = 400_000, 30_000
+FLUSH, FLUSH_DOCS = 800_000, 30_000
 PART = 8
 SCHEMA = "slice int, part long, keys binary, owners binary, docs binary"
 
