@@ -20,6 +20,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Text is hashed in slices of about this many bytes, so that a batch of long texts needs no more memory.
 SLICE_BYTES = 1 << 18
 
+#: Bytes at which an Arrow batch on its way to a Python worker is full; a row is never split.
+BATCH_BYTES = 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, and an error on a cluster."""
@@ -59,6 +62,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows of this session reach Python workers in batches of about BATCH_BYTES, or of a smaller limit that it has.
+
+    Spark's own limit is 10,000 rows of any length: all texts of a task at once, in the executor's vectors, in the worker and in its answer.
+    """
+    limit = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` of ``mapInArrow``, with ``trim`` at its end."""
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from factgraph.llm import common, langid, ngram_join, packing, quality, suffix_dedup
 from tests.llm.test_dedup import groups_by_hand, removed_by_hand
 
 
@@ -43,3 +44,42 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sum(v[1] for v in cut.values()) > 4000 and all(r["n_chars"] == len(r["text"]) for r in seen[3].values())
     assert set(seen[4]) == set(seen[3])
     assert corpus_pipeline.run(spark, base).select("doc_id", "piece").distinct().count() == len(seen[4])
+
+
+def test_no_stage_gets_all_texts_of_a_task_as_one_batch(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(5)) for _ in range(3000)]
+    long, base, log = 2_400_000, str(tmp_path), str(tmp_path / "batches")
+    texts = [" ".join(rng.choices(words, k=n // 6)) for n in [40_000] * 200 + [long]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+
+    def watched(run):
+        def look(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{b.nbytes}\n")
+                yield b
+
+        return lambda batches: run(look(batches))
+
+    for module in (quality, langid, ngram_join, suffix_dedup, packing):
+        monkeypatch.setattr(module, "released", watched)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    table = spark.read.parquet(f"{base}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, base).coalesce(1).write.parquet(f"{base}/{k}")
+        table = spark.read.parquet(f"{base}/{k}")
+        sizes = [int(x) for x in open(log)]
+        open(log, "w").close()
+        # a batch ends with the row that fills it, which the first stage sends with its text twice
+        assert sizes and max(sizes) < common.BATCH_BYTES + 2 * long + 200_000
+        if k < 4:
+            assert {r["doc_id"]: r["text"] for r in table.collect()} == dict(enumerate(texts))
+    assert {r["doc_id"] for r in table.select("doc_id").collect()} == set(range(201))
+    spark.conf.set(limit, "1m")  # a smaller limit of the session stays
+    common.bounded_batches(spark)
+    assert spark.conf.get(limit) in ("1m", str(1 << 20))
+    spark.conf.unset(limit)
